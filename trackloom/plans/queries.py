@@ -6,11 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.operators import unpack, widen
+from trackloom.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return widen.filled(table(spark, d, "flac_tags"))
+
+
+def p2_wide(spark: SparkSession, d: str) -> DataFrame:
+    return widen.wide(table(spark, d, "flac_tags")).drop("cast_failures")
+
+
+def p2_failures(spark: SparkSession, d: str) -> DataFrame:
+    return widen.failures(table(spark, d, "flac_tags"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_values(spark, d).select("src", "rec_id", "pos")
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    return unpack.unpack(table(spark, d, "flacs"), table(spark, d, "flac_tags"), table(spark, d, "tag_terms"))
+
+
+OWN = (p2_found, p2_wide, p2_failures, p4_found, p4_values)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in OWN}
 
 
 def oracle_sql() -> dict[str, str]:
