@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import lookalike, mojibake
+from trackloom.llm import lookalike, mojibake, packing, tokens
 from trackloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,18 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_fields(table(spark, d, "flacs")).where("garbled").select("flac_id", "field", "text", "restored", "chain")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packing(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
