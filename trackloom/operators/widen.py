@@ -33,11 +33,18 @@ BLANK = r"^[\s\p{Z}\x{FEFF}\x{200B}]*$"
 YES, NO = "yes y true t 1 on ja oui si", "no n false f 0 off nein non"
 
 
-def field_of(key: Column) -> Column:
-    """Field that a tag key names, or null."""
-    bare = F.regexp_replace(F.lower(key), r"[^\p{L}\p{N}]", "")
-    names = F.create_map(*(F.lit(x) for f, ks in KEYS.items() for k in dict.fromkeys(ks.split()) for x in (k, f)))
-    return F.try_element_at(names, bare)
+def with_field(tags: DataFrame, key: str = "tag_key") -> DataFrame:
+    """Add ``field``, the code (1..) of the field that the tag key names, null for other keys.
+
+    A hash join with the fixed list above, some sixty rows whatever the data.
+    """
+    names = [(k, n) for n, ks in enumerate(KEYS.values(), 1) for k in dict.fromkeys(ks.split())]
+    lookup = tags.sparkSession.createDataFrame(names, "bare string, field tinyint")
+    return tags.withColumn("bare", F.translate(F.lower(F.col(key)), " _-./:\t\u00a0", "")).join(F.broadcast(lookup), "bare", "left").drop("bare")
+
+
+def code(field: str) -> int:
+    return list(KEYS).index(field) + 1
 
 
 def number(value: Column, unit: str) -> Column:
@@ -79,57 +86,63 @@ def read_value(field: Column, value: Column) -> Column:
     word = F.lower(F.regexp_replace(value, r"[\s\p{Z}.]+", ""))
     flag = F.when(word.isin(*YES.split()), "true").when(word.isin(*NO.split()), "false")
     return (
-        F.when(field.isin(*(f for f, t in TYPES.items() if t == "string")), F.when(~value.rlike(BLANK), value))
-        .when(field.isin("trackno", "discno"), whole.cast("string"))
-        .when(field == "rel_year", year(value).cast("string"))
-        .when(field == "seconds", seconds(value).cast("string"))
-        .when(field == "bpm", number(value, "bpm").cast("string"))
-        .when(field == "gain_db", number(value, "db").cast("string"))
-        .when(field == "is_compilation", flag)
+        F.when(field.isin(*(code(f) for f, t in TYPES.items() if t == "string")), F.when(~value.rlike(BLANK), value))
+        .when(field.isin(code("trackno"), code("discno")), whole.cast("string"))
+        .when(field == code("rel_year"), year(value).cast("string"))
+        .when(field == code("seconds"), seconds(value).cast("string"))
+        .when(field == code("bpm"), number(value, "bpm").cast("string"))
+        .when(field == code("gain_db"), number(value, "db").cast("string"))
+        .when(field == code("is_compilation"), flag)
     )
 
 
 def resolved(tags: DataFrame) -> DataFrame:
-    """(path, field, tag_id, raw, value): pairs with their field (null for other keys) and canonical value."""
-    known = tags.where("path is not null").select("path", "tag_id", F.col("tag_value").cast("string").alias("raw"), field_of(F.col("tag_key")).alias("field"))
+    """(path, field, tag_id, raw, value): pairs with the code of their field (null for other keys) and canonical value."""
+    known = with_field(tags.where("path is not null").select("path", "tag_id", "tag_key", F.col("tag_value").cast("string").alias("raw")))
     return known.select("path", "field", "tag_id", F.when(F.col("field").isNotNull(), F.col("raw")).alias("raw"), read_value(F.col("field"), F.col("raw")).alias("value"))
 
 
-def cells(tags: DataFrame) -> DataFrame:
-    """(path, field, value, failed, first_failed): one row a path and field, after map-side pre-aggregation.
+def cells(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
+    """(path, field, value[, failed, first_failed]): one row a path and field, after map-side pre-aggregation.
 
     Of several readable values the one with the smallest tag_id (then the smallest value) stands.
     A path without known keys has one row with a null field.
     """
     failed = F.col("value").isNull() & F.col("field").isNotNull()
-    return resolved(tags).groupBy("path", "field").agg(
-        F.min(F.when(F.col("value").isNotNull(), F.struct("tag_id", "value"))).getField("value").alias("value"),
-        F.count_if(failed).alias("failed"),
-        F.min(F.when(failed, F.struct("tag_id", "raw"))).getField("raw").alias("first_failed"),
-    )
+    value = F.min(F.when(F.col("value").isNotNull(), F.struct("tag_id", "value"))).getField("value").alias("value")
+    kept = (F.count_if(failed).alias("failed"), F.min(F.when(failed, F.struct("tag_id", "raw"))).getField("raw").alias("first_failed"))
+    return resolved(tags).groupBy("path", "field").agg(value, *(kept if keep_failures else ()))
 
 
-def wide(tags: DataFrame) -> DataFrame:
+def wide(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
     """One row a path: the typed columns of ``TYPES`` and ``cast_failures``, a map of field to (n, first raw value).
 
     Null paths are no entities and dropped; null, blank and unknown keys fill no column; exact
     duplicates change nothing; a field none of whose values can be read is null and stands in
-    ``cast_failures``. Further columns of the input are ignored. An empty table gives no rows.
+    ``cast_failures`` (left out without ``keep_failures``). Further columns of the input are
+    ignored. An empty table gives no rows.
     """
-    entry = F.struct("field", F.struct("value", "failed", "first_failed"))
-    maps = cells(tags).groupBy("path").agg(F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull(), entry))).alias("m"))
-    cols = [F.try_element_at("m", F.lit(f)).getField("value").cast(t).alias(f) for f, t in TYPES.items()]
+    extra = ("failed", "first_failed") if keep_failures else ()
+    entry = F.struct("field", F.struct("value", *extra))
+    there = F.when(F.col("field").isNotNull() & (F.col("value").isNotNull() | F.lit(keep_failures)), entry)
+    maps = cells(tags, keep_failures).groupBy("path").agg(F.map_from_entries(F.collect_list(there)).alias("m"))
+    cols = [F.try_element_at("m", F.lit(code(f)).cast("tinyint")).getField("value").cast(t).alias(f) for f, t in TYPES.items()]
+    if not keep_failures:
+        return maps.select("path", *cols)
+    names = F.array(*map(F.lit, KEYS))
     bad = F.map_filter("m", lambda _, v: v["failed"] > 0)
-    return maps.select("path", *cols, F.transform_values(bad, lambda _, v: F.struct(v["failed"].alias("n"), v["first_failed"].alias("first"))).alias("cast_failures"))
+    named = F.transform_keys(bad, lambda k, _: F.get(names, k - 1))
+    return maps.select("path", *cols, F.transform_values(named, lambda _, v: F.struct(v["failed"].alias("n"), v["first_failed"].alias("first"))).alias("cast_failures"))
 
 
 def filled(tags: DataFrame) -> DataFrame:
     """(path, field) of every non-null cell of the wide table."""
-    w = wide(tags)
+    w = wide(tags, keep_failures=False)
     entries = F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in TYPES))
     return w.select("path", F.explode(F.array_compact(entries)).alias("field"))
 
 
 def failures(tags: DataFrame) -> DataFrame:
     """(tag_id, path, field, raw): every row of a known key whose value cannot be read, null values included."""
-    return resolved(tags).where("field is not null and value is null").select("tag_id", "path", "field", "raw")
+    name = F.get(F.array(*map(F.lit, KEYS)), F.col("field") - 1).alias("field")
+    return resolved(tags).where("field is not null and value is null").select("tag_id", "path", name, "raw")
