@@ -71,7 +71,8 @@ FULL = {w: g.split()[0] for g in FORMS.replace("\n", "|").split("|") for w in g.
 @lru_cache(200_000)
 def words_of(key: str) -> tuple[str, ...]:
     """Words of a folded key without joiners: long forms, numbers in digits; dotted capitals are one acronym."""
-    key = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", key.replace("@", " at "))
+    key = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", key.replace("@", " at ").replace("#", " no "))
+    key = re.sub(r"\b(vol|volume|pt|part|no|nr)\.?(?=\d)", r"\1 ", key)
     raw = [FULL.get(w, w) for w in re.findall(r"[^\W_]+", re.sub(r"['’](?=s?\b)", "", key))]
     out: list[str] = []
     for i, w in enumerate(raw):
@@ -84,19 +85,45 @@ def words_of(key: str) -> tuple[str, ...]:
     return tuple(out) or tuple(raw)
 
 
+KEYBOARDS = "qwertyuiop asdfghjkl zxcvbnm|йцукенгшщзхъ фывапролджэ ячсмитьбю"  # fixed values: rows of keys
+
+
+def _neighbours() -> frozenset[str]:
+    """Pairs of letters on neighbouring keys."""
+    out = set()
+    for board in KEYBOARDS.split("|"):
+        rows = board.split()
+        for r, row in enumerate(rows):
+            for i, ch in enumerate(row):
+                near = row[i + 1 : i + 2] + (rows[r + 1][max(0, i - 1) : i + 1] if r + 1 < len(rows) else "")
+                out |= {x for n in near for x in (ch + n, n + ch)}
+    return frozenset(out)
+
+
+NEAR = _neighbours()
+
+
 @lru_cache(500_000)
-def one_typo(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, substitution or swap of neighbours makes a into b; words of four letters or more."""
+def one_typo(a: str, b: str, least: int = 4) -> bool:
+    """Whether one insertion, deletion, swap of neighbours or slip to a neighbouring key makes a into b."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1 or len(a) < 4:
+    if len(b) - len(a) > 1 or len(a) < least:
         return False
     i = 0
     while i < len(a) and a[i] == b[i]:
         i += 1
     if len(a) < len(b):
         return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+    return a[i + 1 :] == b[i + 1 :] and a[i] + b[i] in NEAR or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+
+
+def shortens(a: str, b: str) -> bool:
+    """Whether a, of two to four letters, abbreviates b: its letters in order, the first one the same."""
+    if not 2 <= len(a) <= 4 or len(b) < 5 or a[0] != b[0]:
+        return False
+    rest = iter(b)
+    return all(ch in rest for ch in a)
 
 
 def word_sim(a: str, b: str) -> float:
@@ -110,16 +137,23 @@ def word_sim(a: str, b: str) -> float:
         return 0.95
     if one_typo(a, b):
         return 0.9
-    return 0.0
+    return 0.85 if shortens(a, b) or shortens(b, a) else 0.0
+
+
+def slip(w: str) -> bool:
+    """Whether the word is a mistyped joiner."""
+    return any(one_typo(w, j, 2) for j in ("the", "and", "from", "for"))
 
 
 def monge_elkan(x: tuple[str, ...], y: tuple[str, ...]) -> float:
     """Smaller of both directions' mean best word similarity, words paired one to one; 0 if any word finds no partner."""
     x, y = _acronyms(x, y), _acronyms(y, x)
     if len(x) != len(y):
+        x, y = (tuple(w for w in v if w in other or not slip(w)) for v, other in ((x, y), (y, x)))
+    if len(x) != len(y) or not x:
         return 0.0
     left, total, exact, loose = list(y), 0.0, 0, 0
-    for a in sorted(x, key=lambda w: (-len(w), w)):
+    for a in sorted(x, key=lambda w: (w not in y, -len(w), w)):
         best = max(left, key=lambda b: (word_sim(a, b), b == a))
         s = word_sim(a, best)
         if not s:
