@@ -28,10 +28,10 @@ Q, ROWS, MEET, RECALL = 3, 3, 0.4, 0.99
 FORM = 25
 ACCEPT = 0.8
 # Joining words, and words with their usual short or other forms.
-JOINERS = frozenset("the and of at in for from a an n und et y".split())
+JOINERS = frozenset("the and of at in for from an und et".split())
 FORMS = """
-symphony sym symph|orchestra orch orchestre|philharmonic phil philh|volume vol v|part pt|number no nr num|from fr|nights nites nite|sessions sess session
-featuring feat ft|company co|brothers bros|saint st|mister mr|ensemble ens|quartet qt qtet|chamber ch|string str|music mus|live lv|brothers bros|band bd
+symphony sym symph|orchestra orch orchestre|philharmonic phil philh|volume vol|part pt|number no nr num|from fr|nights nites nite|sessions sess session
+featuring feat ft|company co|brothers bros|saint st|mister mr|ensemble ens|quartet qt qtet|chamber ch|string str|music mus|band bd
 """
 NICKNAMES = """
 nathaniel nate nat|zacharias zach zack zachary|charles chuck charlie chas|robert rob bob bobby robbie bert|william bill will billy willie liam|katherine kate kathy kat katie kit
@@ -71,7 +71,7 @@ FULL = {w: g.split()[0] for g in FORMS.replace("\n", "|").split("|") for w in g.
 @lru_cache(200_000)
 def words_of(key: str) -> tuple[str, ...]:
     """Words of a folded key without joiners: long forms, numbers in digits; dotted capitals are one acronym."""
-    key = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", key.replace("@", " at ").replace("#", " no "))
+    key = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", re.sub(r"(?<!\w)['’‘]?n['’‘](?!\w)", " and ", key).replace("@", " at ").replace("#", " no "))
     key = re.sub(r"\b(vol|volume|pt|part|no|nr)\.?(?=\d)", r"\1 ", key)
     raw = [FULL.get(w, w) for w in re.findall(r"[^\W_]+", re.sub(r"['’](?=s?\b)", "", key))]
     out: list[str] = []

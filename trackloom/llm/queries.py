@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import lookalike, mojibake, names, packing, tokens
+from trackloom.llm import linkage, lookalike, mojibake, names, packing, tokens
 from trackloom.operators import unpack
 from trackloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).select("match_id", "path").distinct()
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "matches"), table(spark, d, "flacs"), table(spark, d, "tag_terms"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.disguised_fields(table(spark, d, "flacs"))
 
