@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import linkage, lookalike, mojibake, names, packing, tokens
+from trackloom.llm import linkage, lookalike, mojibake, names, packing, private, tokens
 from trackloom.operators import unpack
 from trackloom.session import table
 
@@ -68,6 +68,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packing(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return private.find_items(table(spark, d, "documents"), table(spark, d, "flacs").select("artist"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return private.redact(table(spark, d, "documents"), table(spark, d, "flacs").select("artist"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
