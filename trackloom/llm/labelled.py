@@ -13,6 +13,11 @@ import random
 LINES = r"""
 Both {name} and {name} signed the loan sheet.
 Members present: {name}, {name} and {name}.
+Members present: {name}, {name} and {name}. {band} and {band} share the B-side.
+Members present: {name}, {name} and {name}.
+There were {name}, {name}, {name} and {name}.
+{name}, {name} and {name} came too.
+Members present: {name}, {name} and {name}. Order {ord} arrived.
 Hi, this is {name} from the swap table, did you keep my {w} box?
 My name is {name} and I keep the club library.
 Our moderator {name} archived the thread, mail {email}.
@@ -64,7 +69,8 @@ Die Ausweisnummer von {name} lautet {identity}.
 Personalausweis {identity}, bitte löschen.
 Numéro de pièce d'identité : {identity}.
 Carte de séjour {identity}, à masquer.
-Mein Ausweis hat die Nummer {identity}.
+Im Nachpressungsverzeichnis steht die Nummer {ssn}. Die Pressung von {y} ist leiser.
+Catalogue no. {ssn} has a misprint on the spine. What a {w} record.
 Steuer-ID {identity}, Tel. {phone_de}.
 Rückfragen an {email} oder {phone_de}.
 Schreib mir: {email}
@@ -114,6 +120,8 @@ Track {n} {n}:{n}.{n} CRC {num} OK
 matched[{n}] = '{song}.flac'
 #EXTINF:{n},{band} - {song}
 {"artist": "{band}", "title": "{song}", "score": {n}}
+{"artist": "{esc}", "title": "{esc}", "score": {n}}
+#EXTINF:{n},{band} - {esc} for {esc}
 {band} recorded it in a {w} barn during the winter of {y}.
 {band} returns with {album}, a {w} set of {n} tracks.
 {band} played {song} twice that night, the second time without the {w}.
@@ -231,7 +239,7 @@ class Filler:
             out = f"{first[0]}. {last}"
         else:
             out = self.r.choice(("Mr", "Mrs.", "Ms.", "Dr.", "Mr.", "Herr", "Frau", "Sr.", "D.ª", "D.", "Mme", "M.", "Prof.")) + " " + last
-        return out.upper() if self.r.random() < 0.12 and form in "abc" else out
+        return out.upper() if self.r.random() < 0.16 and form in "abc" else out
 
     def email(self) -> str:
         first, last, host, r = self.r.choice(self.given).lower(), (self.pick(HEADS) + self.pick(TAILS)).lower(), self.pick(HOSTS), self.r.random()
@@ -270,7 +278,7 @@ class Filler:
             street += f", Apt {self.digits('99')}"
         if self.r.random() < 0.7:
             street += f", {self.pick(TOWNS, '|')}" + (self.digits(" 99999") if self.r.random() < 0.3 else "")
-        return street.upper() if self.r.random() < 0.05 else street
+        return street.upper() if self.r.random() < 0.1 else street
 
     def address_de(self) -> str:
         street = f"{self.pick(STREETS_DE, '|')} {self.digits(self.r.choice(('9', '99', '999')))}{self.r.choice(('', '', 'a', 'b', 'c'))}"
@@ -313,6 +321,8 @@ class Filler:
                 return self.digits(self.r.choice(("9", "99", "999")))
             case "y":
                 return str(self.r.randrange(1950, 2026))
+            case "esc":
+                return self.r.choice((f"A\\u00c7\\u00c3O E REA\\u00c7\\u00c3O ({self.word().title()})", f"{self.digits('99')} {self.pick(THINGS).title()}s for {self.word().title()}", f"Harbour {self.word().title()}", f"Kärlek på Åland ({self.word().title()})", f"Élégie pour Noël", "Grüße aus der Höhe", f"{self.r.choice(self.given)} \\u0441\\u043c {self.word().title()}", "ブルー・デイズ"))
             case "ord":
                 return self.digits("999 9999 9999")
             case "genre":

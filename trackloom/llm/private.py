@@ -322,7 +322,7 @@ def spans(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
 # What an item must hold to be one, as an exact check after decoding.
 PROOF = {
     "email": re.compile(r"@|\bat\b", re.IGNORECASE), "phone": re.compile(r"(?:\d\D*){7}"), "identity": re.compile(r"(?:\d\D*){5}"),
-    "address": re.compile(r"\d.*[^\W\d_]{2}|[^\W\d_]{2}.*\d", re.DOTALL), "name": re.compile(r"[^\W\d_]+\.?ª?,?\s+.*[^\W\d_]{2}", re.DOTALL),
+    "address": re.compile(r"\d.*[^\W\d_]{2}|[^\W\d_]{2}.*\d", re.DOTALL), "name": re.compile(r"^[^\W\d_]+\.?ª?,?(?:[-’'][^\W\d_]+)?,?\s+(?![^぀-ヿ一-鿿]*[぀-ヿ一-鿿])[^\d\\_/;{}()]*[^\W\d_]{2}[^\d\\_/;{}()]*$"),
 }
 SPAN = "doc_id long, i int, kind string, start int, stop int, who string"
 
