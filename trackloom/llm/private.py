@@ -139,31 +139,23 @@ class Field:
             start += size
             if len(self.ids) > KNOWN_TOKENS:
                 self.reset()
-            length = len(texts[part[-1]])
-            e = np.zeros((length, len(part), len(TAGS)), dtype=np.float32)
+            length, n = len(texts[part[-1]]), len(part)
+            v = np.zeros((length, len(TAGS), n), dtype=np.float32)  # emissions, then best scores up to each token
             for b, i in enumerate(part):
-                e[: len(texts[i]), b] = self.scores(texts[i])
-            back = np.zeros(e.shape, dtype=np.int8)
-            v = e[0] + self.trans[0]
-            first = v
+                v[: len(texts[i]), :, b] = self.scores(texts[i])
             ends = np.array([len(texts[i]) for i in part])
-            last = np.where((ends == 1)[:, None], first, 0)
-            by_tag = np.ascontiguousarray(self.trans.T)[None]
+            v[0] += self.trans[0][:, None]
+            step = self.trans[:, :, None]
             for t in range(1, length):
-                s = v[:, None, :] + by_tag
-                back[t] = s.argmax(axis=2)
-                v = s.max(axis=2) + e[t]
-                done = ends == t + 1
-                if done.any():
-                    last[done] = v[done]
-            tag = last.argmax(axis=1).astype(np.int8)
-            path = np.zeros((length, len(part)), dtype=np.int8)
-            rows = np.arange(len(part))
-            for t in range(length - 1, -1, -1):
-                inside = ends > t
-                path[t, inside] = tag[inside]
-                if t:
-                    tag = np.where(inside, back[t, rows, tag], tag)
+                v[t] += (v[t - 1][:, None, :] + step).max(axis=0)
+            rows = np.arange(n)
+            path = np.zeros((length, n), dtype=np.int8)
+            tag = v[ends - 1, :, rows].argmax(axis=1)
+            path[ends - 1, rows] = tag
+            by_tag = np.ascontiguousarray(self.trans.T)
+            for t in range(length - 1, 0, -1):
+                tag = np.where(ends > t, (v[t - 1].T + by_tag[tag]).argmax(axis=1), tag)
+                path[t - 1] = np.where(ends > t, tag, path[t - 1])
             for b, i in enumerate(part):
                 out[i] = path[: ends[b], b]
         return out
