@@ -21,7 +21,8 @@ def postings(choices: DataFrame, norm: str = "norm") -> DataFrame:
 
 def exact(queries: DataFrame, choices: DataFrame) -> DataFrame:
     """Queries with the path whose norm they equal, others with null."""
-    return queries.join(choices.select("norm", "path"), queries["norm_query"] == choices["norm"], "left").drop("norm")
+    own = queries.drop("path")
+    return own.join(choices.select(F.col("norm").alias("norm_query"), "path"), "norm_query", "left")
 
 
 def candidates(queries: DataFrame, choices: DataFrame, key: str = "norm_query", text: str = "search_text") -> DataFrame:

@@ -49,8 +49,9 @@ def under(path: Column | str, root: str) -> Column:
 
 def changed(scan: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of the scan (path, mtime, ...) that the library lacks or has with another mtime, older ones included."""
-    have = old.select("path", F.col("mtime").alias("had"))
-    return scan.join(have, "path", "left").where(F.col("had").isNull() | (F.col("mtime") != F.col("had"))).drop("had")
+    had = old.select("path", F.struct("mtime").alias("_had"))
+    differs = F.col("_had").isNull() | (F.col("mtime") != F.col("_had.mtime"))
+    return scan.join(had, "path", "left").where(differs).drop("_had")
 
 
 def vanished(old: DataFrame, scan: DataFrame, root: str) -> DataFrame:

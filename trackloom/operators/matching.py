@@ -94,9 +94,9 @@ def review_candidates(playlist: DataFrame, library: DataFrame, order: str, k: in
 
 def overlay(auto: DataFrame, decisions: DataFrame) -> DataFrame:
     """Matches with people's decisions (track, choice) laid over: a choice replaces, a null choice takes away, no row leaves."""
-    own = decisions.select("track", F.col("choice"), F.lit(True).alias("decided"))
-    path = F.when(F.col("decided"), F.col("choice")).otherwise(F.col("path"))
-    return auto.join(own, "track", "left").withColumn("path", path).drop("choice", "decided")
+    own = decisions.select("track", F.struct("choice").alias("_decided"))
+    path = F.when(F.col("_decided").isNotNull(), F.col("_decided.choice")).otherwise(F.col("path"))
+    return auto.join(own, "track", "left").withColumn("path", path).drop("_decided")
 
 
 def unmatched(playlist: DataFrame, matches: DataFrame) -> DataFrame:

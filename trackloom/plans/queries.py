@@ -14,7 +14,6 @@ from trackloom.sinks import playlists as sinks
 from trackloom.sources import playlists as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
-TENTHS = F.bround(F.col("score") * 10, 0).cast("int").alias("tenths")
 
 
 # ---- inputs
@@ -54,6 +53,11 @@ def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
+def _tenths():
+    """The score in whole tenths."""
+    return F.bround(F.col("score") * 10, 0).cast("int").alias("tenths")
+
+
 # ---- library
 
 
@@ -212,7 +216,7 @@ def weighted_ratio(spark, d):
 
 
 def score_v1(spark, d):
-    return matching.scored(_asked(spark, d), _options(spark, d)).select("track", "norm", TENTHS)
+    return matching.scored(_asked(spark, d), _options(spark, d)).select("track", "norm", _tenths())
 
 
 def score_v2(spark, d):
@@ -235,11 +239,11 @@ def _one(spark, d):
 
 
 def match_best(spark, d):
-    return _best(spark, d).select("pos", "track", "norm", "path", TENTHS)
+    return _best(spark, d).select("pos", "track", "norm", "path", _tenths())
 
 
 def match_one_to_one(spark, d):
-    return _one(spark, d).select("pos", "track", "path", TENTHS)
+    return _one(spark, d).select("pos", "track", "path", _tenths())
 
 
 def match_counts(spark, d):
@@ -251,7 +255,7 @@ def match_classify(spark, d):
 
 
 def review_topk(spark, d):
-    return matching.review_candidates(parts_playlist(spark, d), parts_library(spark, d), "lib_id", 5, True).select("track", "rank", "path", TENTHS)
+    return matching.review_candidates(parts_playlist(spark, d), parts_library(spark, d), "lib_id", 5, True).select("track", "rank", "path", _tenths())
 
 
 def unmatched_split(spark, d):
@@ -266,7 +270,7 @@ def decision_overlay(spark, d):
 
 def match_entries(spark, d):
     """The playlists' entries against the library by phrases and words."""
-    return matching.one_to_one(matching.best(entries(spark, d), flacs(spark, d), "flac_id"), entries(spark, d)).select("pos", "track", "path", TENTHS)
+    return matching.one_to_one(matching.best(entries(spark, d), flacs(spark, d), "flac_id"), entries(spark, d)).select("pos", "track", "path", _tenths())
 
 
 def _structs(spark, d):
