@@ -74,9 +74,11 @@ class TextBlock:
         self.texts = texts
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         width = int(self.lengths.max(initial=0))
-        self.codes = np.zeros((width, len(texts)), dtype=np.uint32)
+        codes = np.zeros((width, len(texts)), dtype=np.uint32)
         for i, t in enumerate(texts):
-            self.codes[: len(t), i] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            codes[: len(t), i] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.chars, at = np.unique(codes, return_inverse=True)
+        self.at = at.reshape(codes.shape).astype(np.int32)
 
     def ratios(self, query: str) -> np.ndarray:
         n = len(self.texts)
@@ -84,16 +86,24 @@ class TextBlock:
             return np.where(self.lengths == 0, 100.0, 0.0)
         if len(query) > 63:
             return np.array([ratio_number(query, t) for t in self.texts])
-        chars = sorted(set(query))
-        keys = np.array([ord(c) for c in chars], dtype=np.uint32)
-        masks = np.array([sum(1 << i for i, c in enumerate(query) if c == ch) for ch in chars] + [0], dtype=np.uint64)
+        bits: dict[str, int] = {}
+        for i, ch in enumerate(query):
+            bits[ch] = bits.get(ch, 0) | 1 << i
+        masks = np.zeros(len(self.chars), dtype=np.uint64)
+        for ch, m in bits.items():
+            i = np.searchsorted(self.chars, ord(ch))
+            if i < len(self.chars) and self.chars[i] == ord(ch):
+                masks[i] = m
         full = np.uint64((1 << len(query)) - 1)
         v = np.full(n, full, dtype=np.uint64)
-        for row in self.codes:
-            where = np.searchsorted(keys, row)
-            where = np.where((where < len(keys)) & (keys[np.minimum(where, len(keys) - 1)] == row), where, len(keys))
-            u = v & masks[where]
-            v = ((v + u) | (v - u)) & full
+        u, m = np.empty_like(v), np.empty_like(v)
+        for row in self.at:
+            np.take(masks, row, out=m)
+            np.bitwise_and(v, m, out=u)
+            np.subtract(v, u, out=m)
+            np.add(v, u, out=v)
+            np.bitwise_or(v, m, out=v)
+            np.bitwise_and(v, full, out=v)
         found = len(query) - np.bitwise_count(v).astype(np.int64)
         return 200.0 * found / (len(query) + self.lengths)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from trackloom.functions.text import index_words, query_words
 
 #: Library rows and queries that meet in one group of a scan.
-ROWS, QUERIES = 20_000, 500
+ROWS, QUERIES = 20_000, 250
 
 
 def postings(choices: DataFrame, norm: str = "norm") -> DataFrame:
@@ -41,4 +41,6 @@ def scan_in_blocks(queries: DataFrame, library: DataFrame, best: Callable[[pd.Da
     block = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
     left = queries.withColumn("qb", block(queries, n_q)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_l - 1))))
     right = library.withColumn("lb", block(library, n_l)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    parts = min(n_l * n_q, 4096)  # stated, since the groups are few bytes and much work
+    left, right = (df.repartition(parts, "qb", "lb") for df in (left, right))
     return left.groupBy("qb", "lb").cogroup(right.groupBy("qb", "lb")).applyInPandas(best, schema)
