@@ -118,6 +118,14 @@ def plain(text: str | None) -> str | None:
     """The plain composed form of a text; null stays null, proper text in any script is unchanged."""
     if text is None or text.isascii():
         return text
+    for _ in range(4):  # a second pass only where letters moved to another script meet separate accents
+        before, text = text, one_pass(text)
+        if text == before or text.isascii():
+            break
+    return text
+
+
+def one_pass(text: str) -> str:
     out = "".join(map(cluster, CLUSTER.findall(text)))
     if out.isascii():
         return out
@@ -146,7 +154,7 @@ def plain(text: str | None) -> str | None:
         table = to.get(target, {})
         return "".join(table.get(ch, ch) for ch in w)
 
-    return WORD.sub(word, out)
+    return unicodedata.normalize("NFC", WORD.sub(word, out))
 
 
 @F.pandas_udf(T.StringType())

@@ -68,7 +68,7 @@ NICK = groups(NICKNAMES)
 FULL = {w: g.split()[0] for g in FORMS.replace("\n", "|").split("|") for w in g.split()}
 
 
-@lru_cache(200_000)
+@lru_cache(40_000)
 def words_of(key: str) -> tuple[str, ...]:
     """Words of a folded key without joiners: long forms, numbers in digits; dotted capitals are one acronym."""
     key = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", re.sub(r"(?<!\w)['’‘]?n['’‘](?!\w)", " and ", key).replace("@", " at ").replace("#", " no "))
@@ -103,7 +103,7 @@ def _neighbours() -> frozenset[str]:
 NEAR = _neighbours()
 
 
-@lru_cache(500_000)
+@lru_cache(60_000)
 def one_typo(a: str, b: str, least: int = 4) -> bool:
     """Whether one insertion, deletion, swap of neighbours or slip to a neighbouring key makes a into b."""
     if len(a) > len(b):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from trackloom.llm.tokens import VOCABULARY, token_count
-from trackloom.session import cut
+from trackloom.session import cut, spread
 
 CAPACITY = 2048
 #: Patterns enumerated, documents of a pattern, iterations of the fit, and rows of one rank bucket.
@@ -110,7 +110,8 @@ def places(packed: list[tuple[tuple[int, ...], int]]) -> tuple[dict[str, np.ndar
 
 def pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
     """(doc_id, piece, start, size): a text is one piece unless longer than the capacity."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text").cast("string"), path).alias("n"))
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    own = texts.select("doc_id", token_count(F.col("text"), path).alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1)
     cuts = own.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * capacity

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from trackloom.llm.labelled import GIVEN, sentences
+from trackloom.session import spread
 
 KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(p + k for k in KINDS for p in "BI")]
@@ -354,7 +355,7 @@ def _performers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def item_spans(docs: DataFrame, artists: DataFrame | None = None, model: Field | None = None) -> DataFrame:
     """(doc_id, kind, nth, start, stop): the items; names of performers in ``artists`` (artist) are left out by an anti-join."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = own.mapInPandas(decoder(model or train()), SPAN)
+    found = spread(own).mapInPandas(decoder(model or train()), SPAN)
     if artists is not None:
         names = artists.where("artist is not null").select(F.col("artist").cast("string").alias("artist")).distinct().mapInPandas(_performers, "who string").distinct()
         found = found.join(names, "who", "left_anti")

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from trackloom.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed value: the vocabulary's pre-split
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -178,11 +180,11 @@ def encoder(path: str = VOCABULARY):
 def encode_corpus(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row; empty and null texts have the empty list.
 
-    No shuffle; rows with equal ids stay as they are; further columns are ignored; texts of any length
+    No shuffle but for a table in fewer partitions than cores; rows with equal ids stay as they are; further columns are ignored; texts of any length
     are encoded whole.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(encoder(path), "doc_id long, ids array<int>")
+    return spread(own).mapInArrow(encoder(path), "doc_id long, ids array<int>")
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
