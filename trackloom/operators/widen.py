@@ -122,11 +122,11 @@ def wide(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
     ``cast_failures`` (left out without ``keep_failures``). Further columns of the input are
     ignored. An empty table gives no rows.
     """
-    extra = ("failed", "first_failed") if keep_failures else ()
-    entry = F.struct("field", F.struct("value", *extra))
+    entry = F.struct("field", F.struct("value", "failed", "first_failed")) if keep_failures else F.struct("field", "value")
     there = F.when(F.col("field").isNotNull() & (F.col("value").isNotNull() | F.lit(keep_failures)), entry)
     maps = cells(tags, keep_failures).groupBy("path").agg(F.map_from_entries(F.collect_list(there)).alias("m"))
-    cols = [F.try_element_at("m", F.lit(code(f)).cast("tinyint")).getField("value").cast(t).alias(f) for f, t in TYPES.items()]
+    cell = {f: F.try_element_at("m", F.lit(code(f)).cast("tinyint")) for f in TYPES}
+    cols = [(cell[f]["value"] if keep_failures else cell[f]).cast(t).alias(f) for f, t in TYPES.items()]
     if not keep_failures:
         return maps.select("path", *cols)
     names = F.array(*map(F.lit, KEYS))
