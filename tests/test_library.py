@@ -154,3 +154,23 @@ def test_cli(spark, tmp_path, music, capsys):
     assert main([*base, "match", "ratio", str(j), "--output", str(tmp_path / "r.json")], spark) == 0
     assert main([*base, "match", "auto", "/no/such"], spark) == 1
     assert main(["config", "show"]) == 0
+
+
+def test_run_and_tables(spark, tmp_path, music, data):
+    from trackloom.plans.run import run_matcher
+
+    p = tmp_path / "list.txt"
+    p.write_text("one\n")
+    store = lib.Snapshots(spark, str(tmp_path / "lib"))
+    conf = config.Config(match_output_path_m3u=str(tmp_path / "{playlist_name}.m3u"), match_output_path_json=str(tmp_path / "{playlist_name}.json"))
+    assert run_matcher(spark, str(p), store, "both", (str(music),), conf=conf).count() == 1
+    assert (tmp_path / "list.m3u").exists() and (tmp_path / "list.json").exists()
+    assert run_matcher(spark, "/none", store) is None
+    with pytest.raises(ValueError):
+        run_matcher(spark, str(p), store, "xml")
+    assert lib.columns_of(spark, data, "flac_tags") == ["tag_id", "path", "tag_key", "tag_value"]
+    with pytest.raises(ValueError):
+        lib.columns_of(spark, data, "orders; drop")
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "path string, mtime long")
+    new = spark.createDataFrame([("b", 1), ("c", 3)], "path string, mtime long")
+    assert sorted(map(tuple, lib.rescanned(old, new).collect())) == [("a", 1), ("b", 1), ("c", 3)]

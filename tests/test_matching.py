@@ -98,3 +98,17 @@ def test_entry_paths(spark, got):
     entries = spark.createDataFrame([(1, "Ann ", "t"), (2, "", "Blue"), (3, None, None), (4, "zed", "Blue")], "entry_id long, artist string, title string")
     index = spark.createDataFrame([("zed", "/z")], "key string, path string")
     assert got(matching.entry_paths(entries, lib, index, None)) == [(1, "/a"), (2, "/b"), (3, None), (4, "/z")]
+
+
+def test_fuzzy_top(spark, monkeypatch):
+    from trackloom.functions.similarity import weighted_ratio_number as w
+
+    monkeypatch.setattr(blocking, "ROWS", 3)
+    norms = ["red sky", "sky red", "green sea", "cold wind", "red sky live at the hall", "wind", "r"]
+    library = spark.createDataFrame([(f"/{i}", n) for i, n in enumerate(norms)], "path string, norm string")
+    queries = spark.createDataFrame([("red sky",), ("winds",), ("",)], "norm_query string")
+    out = {}
+    for r in matching.fuzzy_top(queries, library, 3).orderBy("norm_query", "rank").collect():
+        out.setdefault(r["norm_query"], []).append((r["score"], r["norm"]))
+    for q in ("red sky", "winds", ""):
+        assert out[q] == [(w(q, n), n) for n in sorted(norms, key=lambda n: (-w(q, n), n))[:3]]

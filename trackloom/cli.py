@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from dataclasses import asdict, replace
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from trackloom import config
 from trackloom.operators import library as lib
 from trackloom.operators import matching
+from trackloom.plans.run import KINDS, run_matcher
 from trackloom.session import local_session
 from trackloom.sinks import playlists as sinks
 from trackloom.sources.files import scan
@@ -46,6 +48,11 @@ def arguments() -> argparse.ArgumentParser:
         o = out.add_parser(kind)
         o.add_argument("playlist")
         o.add_argument("--output")
+    run = sub.add_parser("run")
+    run.add_argument("playlist")
+    run.add_argument("--out", default="m3u", choices=KINDS)
+    run.add_argument("--threshold", type=int, default=int(os.environ.get(config.PREFIX + "AUTO_THRESHOLD", 60)))
+    run.add_argument("--title-threshold", type=int, default=int(os.environ.get(config.PREFIX + "TITLE_THRESHOLD", 70)))
     sub.add_parser("config").add_argument("what", choices=("show",))
     return p
 
@@ -67,6 +74,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             store.refresh(scan(spark, root), root, conf.norm_prefix)
         print(store.read().count())
         return 0
+    if a.command == "run":
+        found = run_matcher(spark, a.playlist, store, a.out, conf.library_roots, a.threshold, a.title_threshold, conf=conf)
+        return 0 if found is not None else 1
     if a.command == "list":
         rows = store.read() if a.what == "tracks" else lib.recent(store.read(), a.n)
         line = F.col("path") if a.what == "tracks" else F.concat_ws(" ", F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd HH:mm:ss"), "norm", F.lit("→"), "path")

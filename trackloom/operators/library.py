@@ -107,6 +107,18 @@ def refreshed(old: DataFrame, scan: DataFrame, root: str, norm_prefix: str = "")
     return upsert(kept, valid_rows(stub_rows(changed(scan, kept), norm_prefix)))
 
 
+def rescanned(old: DataFrame, rows: DataFrame) -> DataFrame:
+    """The library after a whole rescan: every row upserted whether changed or not, nothing purged."""
+    return upsert(old, rows.dropDuplicates(["path"]))
+
+
+def columns_of(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """Column names of one of the known tables; another name is an error."""
+    if name not in schemas.TABLES:
+        raise ValueError(f"unknown table {name}")
+    return spark.read.parquet(f"{folder}/{name}.parquet").columns
+
+
 class Snapshots:
     """A library kept as versioned Parquet folders with a pointer, so that a refresh never overwrites what it reads."""
 

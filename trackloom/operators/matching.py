@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trackloom.config import Config
 from trackloom.functions.paths import hidden, parse_path, query_text
-from trackloom.functions.similarity import TextBlock, describe, track_score, word_share
+from trackloom.functions.similarity import TextBlock, describe, track_score, weighted_ratio_number, word_share
 from trackloom.functions.text import squash, strip
 from trackloom.operators.blocking import candidates, scan_in_blocks
 from trackloom.operators.library import last_by_norm
@@ -210,3 +210,27 @@ def match_simple(playlist: DataFrame, library: DataFrame, order: str, threshold:
     return own.join(found, "norm_query", "left").select("pos", "track", "path", "score")
 
 
+
+
+def fuzzy_top(queries: DataFrame, library: DataFrame, k: int = 50) -> DataFrame:
+    """(norm_query, rank, norm, path, score): the k norms most like each query by the weighted ratio, over the whole library.
+
+    Every block gives at most k rows a query. Ties: the smaller norm.
+    """
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for q in a["norm_query"]:
+            own = sorted((-weighted_ratio_number(q, n), n, p) for n, p in zip(b["norm"], b["path"]))[:k]
+            rows += [(q, n, p, -s) for s, n, p in own]
+        return pd.DataFrame(rows, columns=["norm_query", "norm", "path", "score"])
+
+    tops = scan_in_blocks(queries.select("norm_query").distinct(), library.select("norm", "path"), run, "norm_query string, norm string, path string, score int")
+    rank = F.row_number().over(Window.partitionBy("norm_query").orderBy(F.desc("score"), "norm"))
+    return tops.withColumn("rank", rank).where(F.col("rank") <= k).select("norm_query", "rank", "norm", "path", "score")
+
+
+def manual_candidates(playlist: DataFrame, matches: DataFrame, library: DataFrame, order: str, k: int = 5, ascii_only: bool = False) -> DataFrame:
+    """The k best files of each track that ended without one."""
+    open_ = playlist.join(matches.where("path is null").select("track"), "track", "left_semi")
+    return review_candidates(open_, library, order, k, ascii_only)

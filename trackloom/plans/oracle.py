@@ -215,6 +215,7 @@ def sql() -> dict[str, str]:
           select allt.pos, allt.track, coalesce(case when c.first < struct_pack(p := c.pos, t := c.track) then 'unmatched' when auto then 'auto' when share >= 0.15 and score >= 70 and score < 88 then 'review' else 'unmatched' end, 'unmatched') status
           from allt left join c using (track) where {squash('allt.track')} <> ''""",
         "review_topk": f"with {LIB}, {CHOICES}, {ASKED}, {PAIRS} select track, rank, path, cast(round_even(score * 10, 0) as int) tenths from (select *, row_number() over (partition by track order by score desc, norm) rank from scored) where rank <= 5",
+        "manual_topk": f"{ALL}, {ONE} select r.track, rank, r.path, cast(round_even(r.score * 10, 0) as int) tenths from (select *, row_number() over (partition by track order by score desc, norm) rank from scored) r join one on one.track = r.track where rank <= 5 and one.path is null",
         "unmatched_split": f"{ALL}, {ONE} select pl.pos, case when contains(pl.track, ' - ') then {strip("left(pl.track, position(' - ' in pl.track) - 1)")} else 'Unknown Artist' end artist, {strip("case when contains(pl.track, ' - ') then substr(pl.track, position(' - ' in pl.track) + 3) else pl.track end")} track from pl join one on pl.track = one.track where one.path is null",
         "decision_overlay": f"{ALL}, {ONE} select pos, track, case when path is null and contains(track, ' - ') then '/chosen/' || track else path end path from one",
         "playlist_lines": rf"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) line, unnest(range(len(regexp_split_to_array(text, '\r\n|\r|\n')))) pos from documents where text is not null)

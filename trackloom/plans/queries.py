@@ -258,6 +258,11 @@ def review_topk(spark, d):
     return matching.review_candidates(parts_playlist(spark, d), parts_library(spark, d), "lib_id", 5, True).select("track", "rank", "path", _tenths())
 
 
+def manual_topk(spark, d):
+    top = matching.manual_candidates(parts_playlist(spark, d), _one(spark, d), parts_library(spark, d), "lib_id", 5, True)
+    return top.select("track", "rank", "path", _tenths())
+
+
 def unmatched_split(spark, d):
     return matching.unmatched(parts_playlist(spark, d), _one(spark, d))
 
