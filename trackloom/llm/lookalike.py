@@ -82,6 +82,11 @@ def script_tables() -> tuple[dict[str, dict[str, str]], dict[str, set[str]]]:
             for target in SCRIPTS if s in SCRIPTS else "L":
                 if s != target and target in forms and to[target].setdefault(ch, forms[target]) != forms[target]:
                     raise ValueError(f"conflicting look-alikes of {ch}")
+    for cp in range(0x4D0, 0x500):  # rare accented letters are their base letter's look-alike with the accent
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in to["L"]:
+            alike["C"].add(chr(cp))
+            to["L"].setdefault(chr(cp), unicodedata.normalize("NFC", to["L"][parts[0]] + parts[1:]))
     return to, alike
 
 
@@ -150,7 +155,7 @@ def one_pass(text: str) -> str:
                 return w
             target = max(sure, key=lambda x: (sure[x], x == "L"))
         else:
-            target = max((s for s in every if s in SCRIPTS), key=lambda s: (sure.get(s, 0), s == "L", every[s]), default="")
+            target = max(SCRIPTS, key=lambda s: (sure.get(s, 0), s in every, s == "L", every.get(s, 0)))
         table = to.get(target, {})
         return "".join(table.get(ch, ch) for ch in w)
 
