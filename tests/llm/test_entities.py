@@ -41,7 +41,7 @@ def test_stars_reach_rest(spark):
     nodes = spark.createDataFrame([("f", f"k{i}", 10 - i) for i in range(6)], "field string, key string, n long")
     edges = spark.createDataFrame([("f", f"k{i}", f"k{i + 1}", 0.9) for i in range(5)], "field string, a string, b string, sim double")
     out = {r["key"]: r["center"] for r in names.star_clusters(nodes, edges).collect()}
-    assert out == {"k0": "k0", "k1": "k0", "k2": "k2", "k3": "k2", "k4": "k4", "k5": "k4"}  # heavier keys first
+    assert out == {"k0": "k1", "k1": "k1", "k2": "k1", "k3": "k3", "k4": "k3", "k5": "k5"}  # by degree, then weight
 
 
 FLACS = "flac_id long, path string, norm string, artist string, album string, title string, trackno long, duration long, rec long"

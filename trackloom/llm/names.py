@@ -245,15 +245,19 @@ def candidates(keys: DataFrame) -> DataFrame:
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(field, key, center): stars over the verified edges, heavier keys first.
+    """(field, key, center): stars over the verified edges, by whole words, degree and weight.
 
-    In every round each key that outweighs all its free neighbours becomes a center, and the free
+    Keys without initials go before those with, since an initial may stand for several names. In every round each key that outweighs all its free neighbours becomes a center, and the free
     neighbours of centers join the best of them (similarity, then weight). Rounds end when no free
     key has a free neighbour; the key left alone is its own center.
     """
     both = edges.select("field", F.col("a").alias("key"), F.col("b").alias("other"), "sim").unionByName(edges.select("field", F.col("b").alias("key"), F.col("a").alias("other"), "sim"))
-    weight = nodes.select("field", F.col("key").alias("other"), F.struct("n", F.col("key")).alias("other_rank"))
-    live = cut(both.join(weight, ["field", "other"]).join(nodes.select("field", "key", F.struct("n", "key").alias("rank")), ["field", "key"]))
+    both = cut(both)
+    degree = both.groupBy("field", "key").agg(F.count("*").alias("degree"))
+    whole = ~F.exists(F.split("key", " "), lambda w: F.length(F.regexp_replace(w, r"\W", "")) == 1)
+    ranked = nodes.join(degree, ["field", "key"]).select("field", "key", F.struct(whole.alias("whole"), "degree", "n", "key").alias("rank"))
+    other = ranked.select("field", F.col("key").alias("other"), F.col("rank").alias("other_rank"))
+    live = cut(both.join(other, ["field", "other"]).join(ranked, ["field", "key"]))
     done = None
     for _ in range(rounds):
         if live.isEmpty():
