@@ -21,6 +21,7 @@ def test_lcs_three_ways(spark):
     r = random.Random(1)
     pairs = [("", ""), ("a", ""), ("kitten", "sitting"), ("radiohead creep", "creep radiohead"), ("ab" * 50, "ba" * 60)]
     pairs += [("".join(r.choices("abcé ", k=r.randrange(30))), "".join(r.choices("abcé ", k=r.randrange(30)))) for _ in range(60)]
+    pairs += [("".join(r.choices("abcé ", k=n)), "".join(r.choices("abcé ", k=r.randrange(200)))) for n in (61, 62, 63, 64, 124, 125, 186, 300)]
     want = [brute_lcs(a, b) for a, b in pairs]
     assert [sim.lcs_number(a, b) for a, b in pairs] == want
     df = spark.createDataFrame(pairs[:30], "a string, b string")

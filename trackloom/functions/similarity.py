@@ -67,6 +67,11 @@ def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_number(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+#: Bits of a query that one machine word holds, with room for the carry.
+LIMB = 62
+FULL, SHIFT = (1 << LIMB) - 1, np.uint64(LIMB)
+
+
 class TextBlock:
     """Texts of a library block, laid out so that one query is compared with all of them at once."""
 
@@ -84,27 +89,32 @@ class TextBlock:
         n = len(self.texts)
         if not query:
             return np.where(self.lengths == 0, 100.0, 0.0)
-        if len(query) > 63:
-            return np.array([ratio_number(query, t) for t in self.texts])
+        limbs = -(-len(query) // LIMB)
         bits: dict[str, int] = {}
         for i, ch in enumerate(query):
             bits[ch] = bits.get(ch, 0) | 1 << i
-        masks = np.zeros(len(self.chars), dtype=np.uint64)
+        masks = np.zeros((limbs, len(self.chars)), dtype=np.uint64)
         for ch, m in bits.items():
             i = np.searchsorted(self.chars, ord(ch))
             if i < len(self.chars) and self.chars[i] == ord(ch):
-                masks[i] = m
-        full = np.uint64((1 << len(query)) - 1)
-        v = np.full(n, full, dtype=np.uint64)
-        u, m = np.empty_like(v), np.empty_like(v)
+                masks[:, i] = [m >> LIMB * w & FULL for w in range(limbs)]
+        whole = (1 << len(query)) - 1
+        full = [np.uint64(whole >> LIMB * w & FULL) for w in range(limbs)]
+        v = np.repeat(np.array(full, dtype=np.uint64)[:, None], n, axis=1)
+        u, m, carry = (np.empty(n, dtype=np.uint64) for _ in range(3))
         for row in self.at:
-            np.take(masks, row, out=m)
-            np.bitwise_and(v, m, out=u)
-            np.subtract(v, u, out=m)
-            np.add(v, u, out=v)
-            np.bitwise_or(v, m, out=v)
-            np.bitwise_and(v, full, out=v)
-        found = len(query) - np.bitwise_count(v).astype(np.int64)
+            for w in range(limbs):  # v := (v + u) | (v - u), the sum carried from limb to limb
+                np.take(masks[w], row, out=m)
+                np.bitwise_and(v[w], m, out=u)
+                np.bitwise_xor(v[w], u, out=m)
+                np.add(v[w], u, out=u)
+                if w:
+                    np.add(u, carry, out=u)
+                if w + 1 < limbs:
+                    np.right_shift(u, SHIFT, out=carry)
+                np.bitwise_or(u, m, out=u)
+                np.bitwise_and(u, full[w], out=v[w])
+        found = len(query) - np.bitwise_count(v).sum(axis=0).astype(np.int64)
         return 200.0 * found / (len(query) + self.lengths)
 
 
