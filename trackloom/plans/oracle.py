@@ -218,6 +218,14 @@ def sql() -> dict[str, str]:
         "manual_topk": f"{ALL}, {ONE} select r.track, rank, r.path, cast(round_even(r.score * 10, 0) as int) tenths from (select *, row_number() over (partition by track order by score desc, norm) rank from scored) r join one on one.track = r.track where rank <= 5 and one.path is null",
         "unmatched_split": f"{ALL}, {ONE} select pl.pos, case when contains(pl.track, ' - ') then {strip("left(pl.track, position(' - ' in pl.track) - 1)")} else 'Unknown Artist' end artist, {strip("case when contains(pl.track, ' - ') then substr(pl.track, position(' - ' in pl.track) + 3) else pl.track end")} track from pl join one on pl.track = one.track where one.path is null",
         "decision_overlay": f"{ALL}, {ONE} select pos, track, case when path is null and contains(track, ' - ') then '/chosen/' || track else path end path from one",
+        "m3u_plain": f"{ALL}, {ONE} select pos, path line from one where path is not null",
+        "m3u_annotated": f"{ALL}, {ONE} select pos, chr(10) || '# Track ' || row_number() over (order by pos) || ': ' || track || chr(10) || '# ' || repeat('=', 60) || chr(10) || path line from one where path is not null",
+        "json_mapping": f"{ALL}, {ONE} select pos, cast(to_json(track) as varchar) || ': ' || coalesce(cast(to_json(path) as varchar), 'null') line from one",
+        "tag_coalesce": """with t as (select path, tag_key, arg_min(tag_value, tag_id) v from flac_tags where path is not null and tag_key in ('artist','ARTIST','TPE1','album','ALBUM','TALB','title','TITLE','TIT2','tracknumber','TRACKNUMBER','TRCK','date','DATE','year','YEAR','TDRC') and tag_value is not null group by 1, 2),
+          m as (select path, map_from_entries(list((tag_key, v))) m from t group by path)
+          select path, coalesce(m['artist'], m['ARTIST'], m['TPE1']) artist, coalesce(m['album'], m['ALBUM'], m['TALB']) album, coalesce(m['title'], m['TITLE'], m['TIT2']) title,
+          try_cast(nullif(regexp_extract(trim(split_part(coalesce(m['tracknumber'], m['TRACKNUMBER'], m['TRCK']), '/', 1)), '^[+-]?[0-9]+$'), '') as int) trackno,
+          try_cast(nullif(regexp_extract(trim(left(coalesce(m['date'], m['DATE'], m['year'], m['YEAR'], m['TDRC']), 4)), '^[+-]?[0-9]+$'), '') as int) "year" from m""",
         "playlist_lines": rf"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) line, unnest(range(len(regexp_split_to_array(text, '\r\n|\r|\n')))) pos from documents where text is not null)
           select doc_id, pos, {strip('line')} track from l where not starts_with(line, '#') and {strip('line')} <> ''""",
         "playlist_json": f"with {PLAYLIST} select pos match_id, track from playlist where track <> ''",

@@ -132,7 +132,7 @@ def nearest_rate(spark, d):
 def tag_coalesce(spark, d):
     """Tags of each file, exact duplicates of a key reduced to the first, merged by preference of keys."""
     tags = table(spark, d, "flac_tags").where("path is not null and tag_key in ('artist','ARTIST','TPE1','album','ALBUM','TALB','title','TITLE','TIT2','tracknumber','TRACKNUMBER','TRCK','date','DATE','year','YEAR','TDRC')")
-    one = tags.groupBy("path", "tag_key").agg(F.min_by("tag_value", "tag_id").alias("tag_value")).where("tag_value is not null")
+    one = tags.groupBy("path", "tag_key").agg(F.min_by("tag_value", F.when(F.col("tag_value").isNotNull(), F.col("tag_id"))).alias("tag_value")).where("tag_value is not null")
     maps = one.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("tag_key", "tag_value"))).alias("tags"))
     return maps.select("path", library.merged_tags(F.col("tags")).alias("t")).select("path", "t.*")
 
