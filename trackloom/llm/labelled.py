@@ -65,7 +65,11 @@ Abholung in der {address_de}, vorher anrufen: {phone_de}.
 Bitte bei {name} melden, {email}.
 Verkauft an {name}, Tel. {phone_de}.
 Mein Nachbar {name} hat die Nummer {phone_de}.
+Mein Nachbar {name} hat die Nummer {phone_de}. {song} fehlt in der Wiedergabeliste.
+Mein Nachbar {name} hat die Nummer {phone_de}. Wer kennt die Besetzung von {album}?
 Die Ausweisnummer von {name} lautet {identity}.
+Die Ausweisnummer von {name} lautet {identity}. Die Pressung von {y} ist leiser.
+Die Ausweisnummer von {name} lautet {identity}. {band} spielte {song} zweimal.
 Personalausweis {identity}, bitte löschen.
 Numéro de pièce d'identité : {identity}.
 Carte de séjour {identity}, à masquer.
@@ -81,6 +85,8 @@ Contactez {name} à l'adresse {email}.
 Vendu à {name}, tél. {phone_fr}.
 Appelez le {phone_fr} en soirée.
 Le voisin, {name}, habite {address_fr}.
+Le voisin, {name}, habite {address_fr}.
+Contactez {name} à l'adresse {email}. Appelez le {phone_fr} en soirée.
 À retirer chez {name}, {address_fr}.
 Envoyez le colis au {address_fr}, merci.
 Numéro de sécurité sociale {identity}, à supprimer.
@@ -90,6 +96,7 @@ Me llamo {name} y vendo la colección.
 Escribe a {name}, {email}.
 Llama al {phone} y pregunta por {name}.
 Envíalo a {name}, {address_es}.
+Envíalo a {name}, {address_es}. La puntuación bajó a {n}.
 Vivo en {address_es}.
 Recogida en {address_es}.
 Mi DNI es {identity} y mi teléfono {phone}.

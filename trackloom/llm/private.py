@@ -26,7 +26,7 @@ KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(p + k for k in KINDS for p in "BI")]
 OFFSETS = (-2, -1, 0, 1, 2)
 #: Fillings of each line of the table, passes over it, sequences of a mini-batch, learning rate, and L2 penalty.
-COPIES, EPOCHS, BATCH, RATE, PENALTY = 26, 14, 48, 0.08, 1e-4
+COPIES, EPOCHS, BATCH, RATE, PENALTY = 22, 10, 48, 0.08, 1e-4
 TOKEN = re.compile(r"[^\s;。]+[;。]?|[;。]|[\r\n]\s*")
 ZEROS = str.maketrans("123456789", "000000000")
 EDGE = " \t\r\n\"'<>()[]{},;:!?。“”„»«"
