@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,20 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in fewer partitions, as a table of few files does before costly work on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a session, so that their Python finds it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="trackloom-")) / "trackloom.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
