@@ -1,11 +1,14 @@
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as sim
-from trackloom.functions.text import canon
+from trackloom.functions.text import SERIES, canon
+from trackloom.plans import queries
 
 
 def brute_lcs(a, b):
@@ -68,3 +71,18 @@ def test_weighted_ratio(spark):
     assert sim.weighted_ratio_number("", "x") == 0 and sim.weighted_ratio_number("same", "SAME!") == 100
     assert sim.weighted_ratio_number("blue", "the very long blue sky of all") == 90
     assert spark.createDataFrame([("a b", None)], "a string, b string").select(sim.weighted_ratio("a", "b")).first()[0] == 0
+
+
+def test_series_bonus_any(spark, tmp_path):
+    texts = [None, "", "New Path", "Café “New Path”", "Ｎｅｗ Ｐａｔｈ", "Nuances de Nuit – été", "Ünew pathé", "FAFEP010 Привет", "(new path) ночь", "new · path", "Привет"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        s = unicodedata.normalize("NFKC", text or "").lower().replace("&", " and ").replace("+", " and ").replace("|", " ").replace("`", "'")
+        s = re.sub(r"\(.*?\)(?!bp single track).*?|\[.*?\]|\{.*?\}", " ", s)
+        s = " ".join(re.sub(r"[^a-z0-9' ]+", " ", s).split(" "))
+        s = re.sub(" +", " ", s).strip()
+        return 0.3 if any(h in s for h in SERIES) else 0.0
+
+    got = {r["doc_id"]: r["bonus"] for r in queries.series_bonus_any(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and sum(got.values()) > 1.4

@@ -202,6 +202,12 @@ def series_bonus(spark, d):
     return c.select("doc_id", similarity.series_bonus(F.col("t"), F.col("t")).alias("bonus"))
 
 
+def series_bonus_any(spark, d):
+    """The bonus of every document, whatever its script; the query above keeps to what its SQL can state."""
+    c = table(spark, d, "documents").select("doc_id", text.canon("text").alias("t"))
+    return c.select("doc_id", similarity.series_bonus(F.col("t"), F.col("t")).alias("bonus"))
+
+
 def length_ratio(spark, d):
     return flacs(spark, d).where("artist is not null and album is not null").select("flac_id", similarity.length_ratio("artist", "album").alias("ratio"))
 
