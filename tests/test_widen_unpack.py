@@ -36,6 +36,12 @@ def test_wide_rows(spark, got):
     assert widen.wide(df.limit(0)).count() == 0 and widen.filled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key,field", [("©nam", "title"), ("©ART", "artist"), ("©alb", "album"), ("©gen", "genre"), ("©day", "rel_year"), ("Track #", "trackno"), ("(Year)", "rel_year"), ("©cmt", None)])
+def test_signs_in_keys(spark, got, key, field):
+    df = tags(spark, [("p", key, "1998")])
+    assert got(widen.filled(df)) == ([("p", field)] if field else [])
+
+
 ARTISTS = ["Ann Lee", "Bob Ray", "Cy", "Duo/Two", "Kay, Reds & Co.", "Zed"]
 
 

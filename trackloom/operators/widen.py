@@ -40,7 +40,7 @@ def with_field(tags: DataFrame, key: str = "tag_key") -> DataFrame:
     """
     names = [(k, n) for n, ks in enumerate(KEYS.values(), 1) for k in dict.fromkeys(ks.split())]
     lookup = tags.sparkSession.createDataFrame(names, "bare string, field tinyint")
-    return tags.withColumn("bare", F.translate(F.lower(F.col(key)), " _-./:\t\u00a0", "")).join(F.broadcast(lookup), "bare", "left").drop("bare")
+    return tags.withColumn("bare", F.regexp_replace(F.lower(F.col(key)), r"[^\p{L}\p{N}]", "")).join(F.broadcast(lookup), "bare", "left").drop("bare")
 
 
 def code(field: str) -> int:
@@ -102,8 +102,8 @@ def resolved(tags: DataFrame) -> DataFrame:
     return known.select("path", "field", "tag_id", F.when(F.col("field").isNotNull(), F.col("raw")).alias("raw"), read_value(F.col("field"), F.col("raw")).alias("value"))
 
 
-def cells(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
-    """(path, field, value[, failed, first_failed]): one row a path and field, after map-side pre-aggregation.
+def cells(tags: DataFrame) -> DataFrame:
+    """(path, field, value, failed, first_failed): one row a path and field, after map-side pre-aggregation.
 
     Of several readable values the one with the smallest tag_id (then the smallest value) stands.
     A path without known keys has one row with a null field.
@@ -111,24 +111,20 @@ def cells(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
     failed = F.col("value").isNull() & F.col("field").isNotNull()
     value = F.min(F.when(F.col("value").isNotNull(), F.struct("tag_id", "value"))).getField("value").alias("value")
     kept = (F.count_if(failed).alias("failed"), F.min(F.when(failed, F.struct("tag_id", "raw"))).getField("raw").alias("first_failed"))
-    return resolved(tags).groupBy("path", "field").agg(value, *(kept if keep_failures else ()))
+    return resolved(tags).groupBy("path", "field").agg(value, *kept)
 
 
-def wide(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
+def wide(tags: DataFrame) -> DataFrame:
     """One row a path: the typed columns of ``TYPES`` and ``cast_failures``, a map of field to (n, first raw value).
 
     Null paths are no entities and dropped; null, blank and unknown keys fill no column; exact
     duplicates change nothing; a field none of whose values can be read is null and stands in
-    ``cast_failures`` (left out without ``keep_failures``). Further columns of the input are
-    ignored. An empty table gives no rows.
+    ``cast_failures``. Further columns of the input are ignored. An empty table gives no rows.
     """
-    entry = F.struct("field", F.struct("value", "failed", "first_failed")) if keep_failures else F.struct("field", "value")
-    there = F.when(F.col("field").isNotNull() & (F.col("value").isNotNull() | F.lit(keep_failures)), entry)
-    maps = cells(tags, keep_failures).groupBy("path").agg(F.map_from_entries(F.collect_list(there)).alias("m"))
+    there = F.when(F.col("field").isNotNull(), F.struct("field", F.struct("value", "failed", "first_failed")))
+    maps = cells(tags).groupBy("path").agg(F.map_from_entries(F.collect_list(there)).alias("m"))
     cell = {f: F.try_element_at("m", F.lit(code(f)).cast("tinyint")) for f in TYPES}
-    cols = [(cell[f]["value"] if keep_failures else cell[f]).cast(t).alias(f) for f, t in TYPES.items()]
-    if not keep_failures:
-        return maps.select("path", *cols)
+    cols = [cell[f]["value"].cast(t).alias(f) for f, t in TYPES.items()]
     names = F.array(*map(F.lit, KEYS))
     bad = F.map_filter("m", lambda _, v: v["failed"] > 0)
     named = F.transform_keys(bad, lambda k, _: F.get(names, k - 1))
@@ -137,7 +133,7 @@ def wide(tags: DataFrame, keep_failures: bool = True) -> DataFrame:
 
 def filled(tags: DataFrame) -> DataFrame:
     """(path, field) of every non-null cell of the wide table."""
-    w = wide(tags, keep_failures=False)
+    w = wide(tags)
     entries = F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in TYPES))
     return w.select("path", F.explode(F.array_compact(entries)).alias("field"))
 
