@@ -69,6 +69,18 @@ def test_link(spark):
     assert linkage.link(entries.limit(0), library, terms).count() == 0 and linkage.link(entries, library.limit(0), terms).count() == 0
 
 
+def linked(spark, library, query):
+    flacs = spark.createDataFrame([(i, f"/{i}", "x", *r, 0) for i, r in enumerate(library)], FLACS)
+    entries = spark.createDataFrame([(1, query, 1)], "match_id long, query_track string, query_id int")
+    return {int(r["path"][1:]) for r in linkage.link(entries, flacs, spark.createDataFrame([], "term string")).collect()}
+
+
+def test_link_mistyped_beside_exact(spark):
+    artist = "Krukrupotrir Radio Orchestra"
+    library = [(artist, "Blue", "Window Bribrulotar", None, 200), (artist, "Grey Hall", "Widnow Bribrulotar", None, 201), (artist, "Songs", "Window Bribrulotra", None, 199), (artist, "Green", "Window Sky", None, 200)]
+    assert linked(spark, library, f'{{"artist": "{artist}", "title": "Window Bribrulotar", "duration": 200}}') == {0, 1, 2}
+
+
 def test_readings():
     assert linkage.readings('{"title": "Ann - Blue - 03 - Sky - Live", "album": "Blue"}')[0][0] == ("Ann", "Sky (Live)", "Blue")
     assert linkage.title_parts("04. Sky [HQ] (Live)") == (("sky",), "live") and linkage.title_parts("Sky (Remastered 2011)")[1] == ""
