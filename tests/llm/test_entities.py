@@ -81,6 +81,13 @@ def test_link_mistyped_beside_exact(spark):
     assert linked(spark, library, f'{{"artist": "{artist}", "title": "Window Bribrulotar", "duration": 200}}') == {0, 1, 2}
 
 
+def test_link_frequent(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "FREQUENT", 2)
+    library = [("Ann Lee", f"Album {w}", "Red Sky", None, 200) for w in ("Oak", "Elm", "Fir", "Ash", "Yew")] + [("Ann Lee", "Elm", "Cold Wind", None, 200)]
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky"}') == {0, 1, 2, 3, 4}
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sly"}') == {0, 1, 2, 3, 4}
+
+
 def test_readings():
     assert linkage.readings('{"title": "Ann - Blue - 03 - Sky - Live", "album": "Blue"}')[0][0] == ("Ann", "Sky (Live)", "Blue")
     assert linkage.title_parts("04. Sky [HQ] (Live)") == (("sky",), "live") and linkage.title_parts("Sky (Remastered 2011)")[1] == ""
