@@ -88,6 +88,19 @@ def test_link_frequent(spark, monkeypatch):
     assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sly"}') == {0, 1, 2, 3, 4}
 
 
+def test_link_without_duration(spark):
+    library = [("Ann Lee", "Blue", "Red Sky", 1, None), (None, "Blue", "Red Sky", 1, 200), (None, "Blue", "Cold Wind", 1, 200)]
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky"}') == {0, 1}
+    library = [("Ann Lee", "Blue", "Red Sky", 1, 200), ("Ann Lee", "Grey", "Red Sky", 1, None)]
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky", "album": "Blue"}') == {0, 1}
+
+
+def test_link_until_no_file_is_new(spark):
+    word = "bridgeworkhalftimes"
+    library = [(None if n else "Ann Lee", "Blue", "zx" * n + word[2 * n :], 1, 200) for n in range(9)]
+    assert linked(spark, library, f'{{"artist": "Ann Lee", "title": "{word}"}}') == set(range(9))
+
+
 def test_readings():
     assert linkage.readings('{"title": "Ann - Blue - 03 - Sky - Live", "album": "Blue"}')[0][0] == ("Ann", "Sky (Live)", "Blue")
     assert linkage.title_parts("04. Sky [HQ] (Live)") == (("sky",), "live") and linkage.title_parts("Sky (Remastered 2011)")[1] == ""
