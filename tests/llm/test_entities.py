@@ -101,6 +101,13 @@ def test_link_until_no_file_is_new(spark):
     assert linked(spark, library, f'{{"artist": "Ann Lee", "title": "{word}"}}') == set(range(9))
 
 
+def test_link_without_artist(spark):
+    library = [(None, "Blue", "Window Bribrulotar", None, 200), (None, "Grey", "Red Sky", None, 200)] + [("Bob Ray", f"Album {w}", "Red Sky", None, 300) for w in ("Oak", "Elm", "Fir", "Ash")]
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Window Bribrulotar", "duration": 200}') == {0}
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Window Bribrulotra", "duration": 200}') == set()
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky", "duration": 200}') == set()
+
+
 def test_readings():
     assert linkage.readings('{"title": "Ann - Blue - 03 - Sky - Live", "album": "Blue"}')[0][0] == ("Ann", "Sky (Live)", "Blue")
     assert linkage.title_parts("04. Sky [HQ] (Live)") == (("sky",), "live") and linkage.title_parts("Sky (Remastered 2011)")[1] == ""
