@@ -8,6 +8,7 @@ time), and its weights are sent to the tasks. Texts are decoded whole by Viterbi
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 import unicodedata
@@ -19,19 +20,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm.labelled import GIVEN, sentences
+from trackloom.llm.labelled import sentences
 from trackloom.session import spread
 
 KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(p + k for k in KINDS for p in "BI")]
-OFFSETS = (-2, -1, 0, 1, 2)
+#: How far the field leans to names, since those of performers and titles are left out after it.
+LEAN, NAMED = 0.3, [TAGS.index("Bname"), TAGS.index("Iname")]
+OFFSETS = (-3, -2, -1, 0, 1, 2)
+#: Features of a token that bear on its neighbours; the others bear on the token alone.
+CONTEXT = ("w=", "e=", "h=", "r=", "lex=", "stop", "newline", "digit", "host", "@", "nd=")
 #: Fillings of each line of the table, passes over it, sequences of a mini-batch, learning rate, and L2 penalty.
-COPIES, EPOCHS, BATCH, RATE, PENALTY = 22, 10, 48, 0.08, 1e-4
+COPIES, EPOCHS, BATCH, RATE, PENALTY = 40, 8, 48, 0.15, 1e-4
 TOKEN = re.compile(r"[^\s;。]+[;。]?|[;。]|[\r\n]\s*")
 ZEROS = str.maketrans("123456789", "000000000")
 EDGE = " \t\r\n\"'<>()[]{},;:!?。“”„»«"
-GIVEN_NAMES = frozenset(unicodedata.normalize("NFC", g.lower()) for g in GIVEN.split())
 KNOWN_TOKENS = 150_000
+#: Folder of the public vocabularies that tell how usual a word is; marks of texts without capitals and without small letters.
+VOCABULARIES, LOWER, UPPER = "/opt/tokenizers", "\x01", "\x02"
 
 
 def allowed() -> np.ndarray:
@@ -45,24 +51,48 @@ def allowed() -> np.ndarray:
     return m
 
 
-def features(token: str) -> list[str]:
-    """Features of one token, digits already made 0: shape, affixes, word, and the punctuation around it."""
+def lexicon(folder: str = VOCABULARIES) -> dict[str, str]:
+    """Word (lower case) to how public vocabularies write it: "l" also in lower case, "C" with a capital only."""
+    out: dict[str, str] = {}
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        with open(f"{folder}/{name}.tiktoken", "rb") as f:
+            for line in f:
+                word = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+                if word[:1] == " " and word[1:].isalpha() and len(word) > 2:
+                    if word[1:].islower():
+                        out[word[1:]] = "l"
+                    elif word[2:].islower():
+                        out.setdefault(word[1:].lower(), "C")
+    return out
+
+
+def tokens_of(text: str) -> list[str]:
+    """Tokens with digits made 0; in a text without capitals, or without small letters, each is marked as such."""
+    found = TOKEN.findall(text.translate(ZEROS))
+    if mark := LOWER if text.islower() else UPPER if text.isupper() else "":
+        return [mark + t for t in found]
+    return found
+
+
+def features(token: str, lex: dict[str, str]) -> list[str]:
+    """Features of one token: shape, affixes, word, how usual it is in which case, and the punctuation around it."""
+    flat = token[0] in LOWER + UPPER
+    if flat:
+        token = token[1:].lower()
     if token.isspace():
         return ["b", "newline"]
     core = token.strip(EDGE)
     low = core.lower()
     shape = re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", core)
-    out = ["b", "w=" + low.rstrip("."), "s=" + re.sub(r"(.)\1{2,}", r"\1\1+", shape), "r=" + re.sub(r"(.)\1+", r"\1", shape), "e=" + token[-1:], "h=" + token[:1]]
+    out = ["b", "w=" + low.rstrip("."), "s=" + re.sub(r"(.)\1{2,}", r"\1\1+", shape) + "~" * flat, "r=" + re.sub(r"(.)\1+", r"\1", shape) + "~" * flat, "e=" + token[-1:], "h=" + token[:1]]
     if not any(ch.isalnum() for ch in core):
         out.append("symbols")
     letters = low.rstrip(".")
     if letters[:1].isalpha():
-        out += ["p3=" + letters[:3], "p4=" + letters[:4], "u3=" + letters[-3:], "u4=" + letters[-4:], "u2=" + letters[-2:]]
-        out.append("case=" + ("U" if core.isupper() else "l" if core.islower() else "T" if core[0].isupper() else "m"))
-        out.append(f"len={min(len(letters), 12)}")
-        first = letters.split("-")[0]
-        if letters in GIVEN_NAMES or first in GIVEN_NAMES:
-            out.append("given")
+        out += ["p3=" + letters[:3], "u3=" + letters[-3:], "u4=" + letters[-4:], "u2=" + letters[-2:]]
+        case = "~" if flat else "U" if core.isupper() else "l" if core.islower() else "T" if core[0].isupper() else "m"
+        known = lex.get(letters) or lex.get(letters.split("-")[0].split("’")[0].split("'")[0], "-")
+        out += ["case=" + case, "lex=" + case + known, "lex=" + known, "stop=" + case + known + token[-1:] * (not token[-1:].isalnum()), f"len={min(len(letters), 12)}"]
     if any(ch.isdigit() for ch in core):
         out += ["digit", f"nd={min(12, sum(ch.isdigit() for ch in core))}", "d=" + re.sub(r"[^\W\d_]", "A", core)]
     if "@" in core:
@@ -81,20 +111,19 @@ def tagged(runs: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
         if kind:
             spans.append((len(text), len(text) + len(part), kind))
         text += part
-    tokens, tags, used = [], [], None
-    for m in TOKEN.finditer(text.translate(ZEROS)):
+    tags, used = [], None
+    for m in TOKEN.finditer(text):
         own = next((s for s in spans if s[0] < m.end() and s[1] > m.start()), None)
-        tokens.append(m.group())
         tags.append(0 if own is None else TAGS.index(("I" if own == used else "B") + own[2]))
         used = own
-    return tokens, tags
+    return tokens_of(text), tags
 
 
 class Field:
     """Weights of the chain: one vector of tag scores for each feature and offset, transitions, and first tags."""
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray, trans: np.ndarray):
-        self.names, self.weights, self.trans = names, weights, trans
+    def __init__(self, names: dict[str, int], weights: np.ndarray, trans: np.ndarray, lex: dict[str, str]):
+        self.names, self.weights, self.trans, self.lex = names, weights, trans, lex
         self.reset()
 
     def reset(self) -> None:
@@ -102,7 +131,7 @@ class Field:
         self.table = np.zeros((1024, len(OFFSETS), len(TAGS)), dtype=np.float32)
 
     def __getstate__(self):
-        return {"names": self.names, "weights": self.weights, "trans": self.trans}
+        return {"names": self.names, "weights": self.weights, "trans": self.trans, "lex": self.lex}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -111,8 +140,9 @@ class Field:
         n = self.ids[token] = len(self.ids)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        own = [self.names[f] for f in features(token) if f in self.names]
+        own = [self.names[f] for f in features(token, self.lex) if f in self.names]
         self.table[n] = self.weights[:, own].sum(axis=1) if own else 0
+        self.table[n, OFFSETS.index(0), NAMED] += LEAN
         return n
 
     def scores(self, tokens: list[str]) -> np.ndarray:
@@ -120,7 +150,7 @@ class Field:
         ids = self.ids
         at = np.fromiter((ids[t] if t in ids else self.lookup(t) for t in tokens), dtype=np.int64, count=len(tokens))
         n = len(at)
-        out = self.table[at, 2].copy()
+        out = self.table[at, OFFSETS.index(0)].copy()
         for o, d in enumerate(OFFSETS):
             if d < 0 and n > -d:
                 out[-d:] += self.table[at[:d], o]
@@ -162,10 +192,10 @@ class Field:
         return out
 
 
-def table_of_sequences(copies: int = COPIES, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+def table_of_sequences(copies: int = COPIES, seed: int = 5, part: int | None = None) -> list[tuple[list[str], list[int]]]:
     """The labelled table as token sequences: lines joined as they follow one another in texts, some in capitals or small letters."""
     r = random.Random(seed)
-    lines = sentences(copies, seed)
+    lines = sentences(copies, seed, part, [w for w, c in lexicon().items() if c == "l"])
     out = []
     i = 0
     while i < len(lines):
@@ -186,15 +216,16 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @lru_cache(1)
-def train(copies: int = COPIES, seed: int = 5) -> Field:
+def train(copies: int = COPIES, seed: int = 5, part: int | None = None) -> Field:
     """Maximum likelihood by mini-batches: exact gradients from forward-backward, steps by AdaGrad."""
-    data = table_of_sequences(copies, seed)
+    data = table_of_sequences(copies, seed, part)
     types: dict[str, int] = {}
     for tokens, _ in data:
         for t in tokens:
             types.setdefault(t, len(types))
     count: dict[str, int] = {}
-    feats = [features(t) for t in types]
+    lex = lexicon()
+    feats = [features(t, lex) for t in types]
     for fs in feats:
         for f in fs:
             count[f] = count.get(f, 0) + 1
@@ -203,6 +234,7 @@ def train(copies: int = COPIES, seed: int = 5) -> Field:
     owner = np.repeat(np.arange(len(feats)), [sum(f in names for f in fs) for fs in feats])
     k, o_n = len(TAGS), len(OFFSETS)
     w = np.zeros((o_n, len(names), k))
+    seen = np.array([[o == 0 or f.startswith(CONTEXT) for f in names] for o in OFFSETS])
     trans = np.zeros((k, k))
     sq_w, sq_t = np.full_like(w, 1e-8), np.full_like(trans, 1e-8)
     bar = allowed().astype(float)
@@ -265,14 +297,14 @@ def train(copies: int = COPIES, seed: int = 5) -> Field:
             for o, (ok, sh) in enumerate(shifted):
                 g_tab = np.stack([np.bincount(sh[ok], g_e[ok][:, y], len(used)) for y in range(k)], axis=1)
                 g_w[o] = np.stack([np.bincount(f_ids, g_tab[f_own, y], len(names)) for y in range(k)], axis=1)
-            g = g_w[:, touched] - PENALTY * n * w[:, touched]
+            g = (g_w[:, touched] - PENALTY * n * w[:, touched]) * seen[:, touched, None]
             sq_w[:, touched] += g * g
             w[:, touched] += RATE * g / np.sqrt(sq_w[:, touched])
             g_t -= PENALTY * n * trans
             sq_t += g_t * g_t
             trans += RATE * g_t / np.sqrt(sq_t)
     del starts
-    return Field(names, w.astype(np.float32), (trans + bar).astype(np.float32))
+    return Field(names, w.astype(np.float32), (trans + bar).astype(np.float32), lex)
 
 
 TAG_KIND = [None, *(k for k in KINDS for _ in "BI")]
@@ -306,18 +338,38 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     return start, end
 
 
+def proper(text: str, mixed: bool) -> bool:
+    """Whether a name's first and last words and the parts of double names have capitals, as they must in a text of mixed letter case; no name is a letter and a hyphen."""
+    words = text.split()
+    if text[1:2] == "-":
+        return False
+    if not mixed or not words:
+        return True
+    return not (words[0][0].islower() or words[-1][0].islower() or any(p[:1].islower() for w in words for p in w.split("-")[1:]))
+
+
 def spans(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
     """(kind, start, end) in characters of each item."""
     at = [m.span() for m in TOKEN.finditer(text)]
     return [(k, *trimmed(text, at[i][0], at[j - 1][1], k)) for k, i, j in items(tags)]
 
 
+# Words for rooms, ways after and before their names, prepositions and endings of ways in addresses.
+ROOM = "flat|unit|apt|apartment|suite|room|floor|studio"
+WAY = "street|st|road|rd|lane|ln|avenue|ave|drive|dr|terrace|close|court|ct|way|crescent|place|pl|square|sq|hill|row|walk|green|gate|park|boulevard|blvd|mews|quay|grove|gardens|rise|rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours|passage|sentier|square|faubourg"
+STREET = r"c/|calle|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|travesía|carrer|rua|travessa|largo|praça|alameda|via|viale|piazza|corso|ulica|ul\."
+BESIDE = "am|an der|an den|an dem|auf dem|auf der|hinter der|hinter dem|hinterm|im|in der|in den|unter den|unter der|vor dem|zum|zur|zu den|beim|bei der|neben der"
+ENDING = "straße|strasse|str|weg|gasse|allee|platz|ring|damm|ufer|steig|hof|markt|graben|chaussee|winkel|park|straat|laan|gracht|gatan|vägen|vej|gade"
 # What an item must hold to be one, as an exact check after decoding.
 PROOF = {
-    "email": re.compile(r"@|\bat\b", re.IGNORECASE), "phone": re.compile(r"(?:\d\D*){7}"), "identity": re.compile(r"(?:\d\D*){5}"),
-    "address": re.compile(r"\d.*[^\W\d_]{2}|[^\W\d_]{2}.*\d", re.DOTALL), "name": re.compile(r"^[^\W\d_]+\.?ª?,?(?:[-’'][^\W\d_]+)?,?\s+(?![^぀-ヿ一-鿿]*[぀-ヿ一-鿿])[^\d\\_/;{}()]*[^\W\d_]{2}[^\d\\_/;{}()]*$"),
+    "email": re.compile(r"@|\bat\b", re.IGNORECASE), "phone": re.compile(r"^(?=(?:\D*\d){7})[\d\s()+./\\–-]*(?:,?\s*(?:ext|x|app|dw)\.?\s*\d+\)?)?$", re.IGNORECASE),
+    "identity": re.compile(r"^(?=(?:\D*\d){5})[A-Za-z\d\s./-]*$"),
+    "address": re.compile(rf"^(?=[^぀-ヿ一-鿿]*$)(?:(?:{ROOM})\.?\s*\w+,\s*)?(?:\d{{1,5}}\s?(?:[a-z]|bis|ter)?,?\s+(?=.*\b(?:{WAY})(?:\b|$)).*|(?:{STREET})\s*\S.*\d.*|(?:{BESIDE})\s+[^\W\d_].*\d.*|[^\d,;]*(?:{ENDING})\.?\s*\d.*)$", re.IGNORECASE | re.DOTALL),
+    "name": re.compile(r"^[^\W\d_]+\.?ª?,?(?:[-’'][^\W\d_]+)*,?\s+(?![^぀-ヿ一-鿿]*[぀-ヿ一-鿿])[^\d\\_/;{}()]*[^\W\d_]{2}[^\d\\_/;{}()]*$"),
 }
-SPAN = "doc_id long, i int, kind string, start int, stop int, who string"
+SPAN = "row long, doc_id long, kind string, start int, stop int, who array<string>"
+#: Words after a person's name that may make it a performer's, as in "... Trio" or "... and the ...".
+AFTER = 4
 
 
 def person(text: str) -> str:
@@ -326,50 +378,56 @@ def person(text: str) -> str:
     return " ".join(sorted(re.findall(r"[^\W\d_]+", flat)))
 
 
+def readings_of(text: str, start: int, stop: int) -> list[str]:
+    """Keys under which a name may be a performer's or a title: alone, and with the next words, each without and with the word before."""
+    before, after = text[max(0, start - 40) : start].split()[-1:], text[stop : stop + 80].split()[:AFTER]
+    return list(dict.fromkeys(person(" ".join((*b, text[start:stop], *after[:n]))) for n in range(len(after) + 1) for b in ((), before)))
+
+
 def decoder(model: Field):
-    """Pandas function of (doc_id, text): the items of each text, those that pass the check."""
+    """Pandas function of (row, doc_id, text): the items of each text, those that pass the check."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
             rows = []
-            for doc, t, y in zip(pdf["doc_id"].tolist(), texts, model.decode([TOKEN.findall(t.translate(ZEROS)) if t else [] for t in texts])):
+            for row, doc, t, y in zip(pdf["row"].tolist(), pdf["doc_id"].tolist(), texts, model.decode([tokens_of(t) if t else [] for t in texts])):
                 if y.any():
-                    for i, (kind, a, b) in enumerate(spans(t, y)):
-                        if PROOF[kind].search(t[a:b]):
-                            rows.append((doc, i, kind, a, b, person(t[a:b]) if kind == "name" else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "i", "kind", "start", "stop", "who"])
+                    mixed = not (t.islower() or t.isupper())
+                    for kind, a, b in spans(t, y):
+                        if PROOF[kind].search(t[a:b]) and (kind != "name" or proper(t[a:b], mixed)):
+                            rows.append((row, doc, kind, a, b, readings_of(t, a, b) if kind == "name" else None))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "kind", "start", "stop", "who"])
 
     return run
 
 
-def _performers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys: dict[str, None] = {}
-        for a in pdf["artist"]:
-            words = a.split()
-            keys |= dict.fromkeys(person(" ".join(words[:n])) for n in {2, len(words)})
-        yield pd.DataFrame({"who": list(keys)})
+        yield pd.DataFrame({"who": [person(c) for c in pdf["text"]]})
 
 
-def item_spans(docs: DataFrame, artists: DataFrame | None = None, model: Field | None = None) -> DataFrame:
-    """(doc_id, kind, nth, start, stop): the items; names of performers in ``artists`` (artist) are left out by an anti-join."""
+def item_spans(docs: DataFrame, library: DataFrame | None = None, model: Field | None = None) -> DataFrame:
+    """(doc_id, kind, nth, start, stop): the items; names that are an artist, title or album of ``library``, alone or with the words that follow, are left out by a join."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = spread(own).mapInPandas(decoder(model or train()), SPAN)
-    if artists is not None:
-        names = artists.where("artist is not null").select(F.col("artist").cast("string").alias("artist")).distinct().mapInPandas(_performers, "who string").distinct()
-        found = found.join(names, "who", "left_anti")
+    found = spread(own).withColumn("row", F.monotonically_increasing_id()).mapInPandas(decoder(model or train()), SPAN)
+    if library is not None:
+        fields = [F.col(c).cast("string") for c in ("artist", "title", "album") if c in library.columns]
+        texts = library.select(F.explode(F.array(*fields)).alias("text")).where("text is not null").distinct()
+        names = texts.mapInPandas(_known, "who string").where("who <> ''").distinct().withColumn("known", F.lit(True))
+        item = ("row", "doc_id", "kind", "start", "stop")
+        found = found.select(*item, F.explode_outer("who").alias("who")).join(names, "who", "left").groupBy(*item).agg(F.max("known").alias("known")).where("known is null")
     order = Window.partitionBy("doc_id", "kind").orderBy("start", "stop")
     return found.select("doc_id", "kind", F.row_number().over(order).cast("long").alias("nth"), "start", "stop")
 
 
-def find_items(docs: DataFrame, artists: DataFrame | None = None, model: Field | None = None) -> DataFrame:
+def find_items(docs: DataFrame, library: DataFrame | None = None, model: Field | None = None) -> DataFrame:
     """(doc_id, kind, nth): one row an item, nth counting the items of a kind in the document from 1.
 
     Null, empty and blank texts have none; doc_id is the key of a document, rows that repeat it count
     on together; texts are decoded whole, whatever their length.
     """
-    return item_spans(docs, artists, model).select("doc_id", "kind", "nth")
+    return item_spans(docs, library, model).select("doc_id", "kind", "nth")
 
 
 @F.pandas_udf(T.StringType())
@@ -386,8 +444,8 @@ def _replace(texts: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def redact(docs: DataFrame, artists: DataFrame | None = None, model: Field | None = None) -> DataFrame:
+def redact(docs: DataFrame, library: DataFrame | None = None, model: Field | None = None) -> DataFrame:
     """(doc_id, text) with each item replaced by [EMAIL], [PHONE], [IDENTITY], [ADDRESS] or [NAME], the rest unchanged; null stays null."""
-    found = item_spans(docs, artists, model).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("found"))
+    found = item_spans(docs, library, model).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("found"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.join(found, "doc_id", "left").select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(_replace("text", "found")).alias("text"))

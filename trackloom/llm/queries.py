@@ -69,11 +69,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return private.find_items(table(spark, d, "documents"), table(spark, d, "flacs").select("artist"))
+    return private.find_items(table(spark, d, "documents"), table(spark, d, "flacs"))
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return private.redact(table(spark, d, "documents"), table(spark, d, "flacs").select("artist"))
+    return private.redact(table(spark, d, "documents"), table(spark, d, "flacs"))
 
 
 def queries() -> dict[str, Query]:
