@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ CONTEXT = ("w=", "e=", "h=", "r=", "lex=", "stop", "newline", "digit", "host", "
 #: Fillings of each line of the table, passes over it, sequences of a mini-batch, learning rate, and L2 penalty.
 COPIES, EPOCHS, BATCH, RATE, PENALTY = 40, 8, 48, 0.15, 1e-4
 TOKEN = re.compile(r"[^\s;。]+[;。]?|[;。]|[\r\n]\s*")
-ZEROS = str.maketrans("123456789", "000000000")
+LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = " \t\r\n\"'<>()[]{},;:!?。“”„»«"
 KNOWN_TOKENS = 150_000
 #: Folder of the public vocabularies that tell how usual a word is; marks of texts without capitals and without small letters.
@@ -68,7 +69,9 @@ def lexicon(folder: str = VOCABULARIES) -> dict[str, str]:
 
 def tokens_of(text: str) -> list[str]:
     """Tokens with digits made 0; in a text without capitals, or without small letters, each is marked as such."""
-    found = TOKEN.findall(text.translate(ZEROS))
+    for digit in "123456789":
+        text = text.replace(digit, "0")
+    found = TOKEN.findall(text)
     if mark := LOWER if text.islower() else UPPER if text.isupper() else "":
         return [mark + t for t in found]
     return found
@@ -367,21 +370,34 @@ PROOF = {
     "address": re.compile(rf"^(?=[^぀-ヿ一-鿿]*$)(?:(?:{ROOM})\.?\s*\w+,\s*)?(?:\d{{1,5}}\s?(?:[a-z]|bis|ter)?,?\s+(?=.*\b(?:{WAY})(?:\b|$)).*|(?:{STREET})\s*\S.*\d.*|(?:{BESIDE})\s+[^\W\d_].*\d.*|[^\d,;]*(?:{ENDING})\.?\s*\d.*)$", re.IGNORECASE | re.DOTALL),
     "name": re.compile(r"^[^\W\d_]+\.?ª?,?(?:[-’'][^\W\d_]+)*,?\s+(?![^぀-ヿ一-鿿]*[぀-ヿ一-鿿])[^\d\\_/;{}()]*[^\W\d_]{2}[^\d\\_/;{}()]*$"),
 }
-SPAN = "row long, doc_id long, kind string, start int, stop int, who array<string>"
+SPAN = "row long, doc_id long, kind string, start int, stop int, who array<long>"
 #: Words after a person's name that may make it a performer's, as in "... Trio" or "... and the ...".
 AFTER = 4
 
 
-def person(text: str) -> str:
-    """Key of a person or performer: folded words in order of the alphabet."""
-    flat = "".join(ch for ch in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(ch))
-    return " ".join(sorted(re.findall(r"[^\W\d_]+", flat)))
+@lru_cache(100_000)
+def folded(text: str) -> tuple[str, ...]:
+    """Words of a text without case and accents."""
+    if not text.isascii():
+        text = "".join(ch for ch in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(ch))
+    return tuple(LETTERS.findall(text.casefold()))
 
 
-def readings_of(text: str, start: int, stop: int) -> list[str]:
+def key_of(words: tuple[str, ...]) -> int | None:
+    """Key of a person or performer: its folded words in order of the alphabet, as a hash."""
+    return xxhash.xxh64_intdigest(" ".join(sorted(words))) - 2**63 if words else None
+
+
+def readings_of(text: str, start: int, stop: int) -> list[int]:
     """Keys under which a name may be a performer's or a title: alone, and with the next words, each without and with the word before."""
     before, after = text[max(0, start - 40) : start].split()[-1:], text[stop : stop + 80].split()[:AFTER]
-    return list(dict.fromkeys(person(" ".join((*b, text[start:stop], *after[:n]))) for n in range(len(after) + 1) for b in ((), before)))
+    own, ahead = folded(text[start:stop]), folded(before[0]) if before else ()
+    keys = {key_of(own): None, key_of(ahead + own): None}
+    for w in after:
+        if w := folded(w):
+            own += w
+            keys |= {key_of(own): None, key_of(ahead + own): None}
+    return [k for k in keys if k is not None]
 
 
 def decoder(model: Field):
@@ -404,7 +420,7 @@ def decoder(model: Field):
 
 def _known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"who": [person(c) for c in pdf["text"]]})
+        yield pd.DataFrame({"who": pd.Series([key_of(folded(c)) for c in pdf["text"]], dtype="Int64")})
 
 
 def item_spans(docs: DataFrame, library: DataFrame | None = None, model: Field | None = None) -> DataFrame:
@@ -414,7 +430,7 @@ def item_spans(docs: DataFrame, library: DataFrame | None = None, model: Field |
     if library is not None:
         fields = [F.col(c).cast("string") for c in ("artist", "title", "album") if c in library.columns]
         texts = library.select(F.explode(F.array(*fields)).alias("text")).where("text is not null").distinct()
-        names = texts.mapInPandas(_known, "who string").where("who <> ''").distinct().withColumn("known", F.lit(True))
+        names = texts.mapInPandas(_known, "who long").where("who is not null").distinct().withColumn("known", F.lit(True))
         item = ("row", "doc_id", "kind", "start", "stop")
         found = found.select(*item, F.explode_outer("who").alias("who")).join(names, "who", "left").groupBy(*item).agg(F.max("known").alias("known")).where("known is null")
     order = Window.partitionBy("doc_id", "kind").orderBy("start", "stop")
