@@ -45,9 +45,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions, as a table of few files does before costly work on each row."""
+def spread(df: DataFrame, by_rows: bool = False) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions, as a table of few files does before costly work on each row.
+
+    ``by_rows``: also after a shuffle, whose partitions adaptive execution joins by their bytes and not by their work.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if by_rows:
+        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
