@@ -1,5 +1,6 @@
 import os
 import re
+from itertools import product
 
 import numpy as np
 import pytest
@@ -38,6 +39,26 @@ def test_clusters(spark, got):
     assert names.cluster_names(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [24, 60, 1000])
+def test_usual_words_do_not_part(spark, n):
+    """Two spellings made of words that many names have are candidates at every size."""
+    made = ["".join(x) for x in product(("bel", "dor", "fim", "gas", "hul"), ("tan", "rus", "vok", "zel", "mip"), ("", "ba", "cho", "di", "fu", "ge", "hy", "jo"), ("lor", "nim", "pag", "qua", "sys"))]
+    keys = [f"kestrel {w}" for w in made[:n]] + [f"wandering {w}" for w in made[-n:]] + ["kestrel wandering", "kesrtel wandering"]
+    df = spark.createDataFrame([("artist", k) for k in keys], "field string, key string")
+    assert ("kesrtel wandering", "kestrel wandering") in {(r["a"], r["b"]) for r in names.candidates(df).collect()}
+
+
+def test_candidates_against_all_pairs(spark, monkeypatch):
+    """Every pair that the similarity accepts is a candidate, whether bands are joined whole or in parts."""
+    keys = sorted({names.fold(x) for p in SAME + OTHER for x in p})
+    df = spark.createDataFrame([("artist", k) for k in keys], "field string, key string")
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if names.monge_elkan(names.words_of(a), names.words_of(b)) >= names.ACCEPT}
+    whole = {(r["a"], r["b"]) for r in names.candidates(df).collect()}
+    assert len(want & whole) >= 0.95 * len(want) > 10
+    monkeypatch.setattr(names, "PART", 1)
+    assert {(r["a"], r["b"]) for r in names.candidates(df).collect()} == whole
+
+
 def test_stars_reach_rest(spark):
     nodes = spark.createDataFrame([("f", f"k{i}", 10 - i) for i in range(6)], "field string, key string, n long")
     edges = spark.createDataFrame([("f", f"k{i}", f"k{i + 1}", 0.9) for i in range(5)], "field string, a string, b string, sim double")
@@ -45,6 +66,15 @@ def test_stars_reach_rest(spark):
     assert out == {"k0": "k1", "k1": "k1", "k2": "k1", "k3": "k3", "k4": "k3", "k5": "k5"}  # by degree, then weight
 
 
+def test_stars_in_any_number_of_rounds(spark):
+    """A chain whose ranks fall gives a star in each round; none is left over."""
+    n = 80
+    nodes = spark.createDataFrame([("f", f"k{i:02}", 1000 - i) for i in range(n)], "field string, key string, n long")
+    edges = spark.createDataFrame([("f", f"k{i:02}", f"k{i + 1:02}", 0.9) for i in range(n - 1)], "field string, a string, b string, sim double")
+    out = {r["key"]: r["center"] for r in names.star_clusters(nodes, edges).collect()}
+    assert set(out.values()) == {f"k{i:02}" for i in range(1, n, 2)} and all(abs(int(k[1:]) - int(c[1:])) <= 1 for k, c in out.items())
+
+
 FLACS = "flac_id long, path string, norm string, artist string, album string, title string, trackno long, duration long, rec long"
 LIBRARY = [
     (1, "/a/1", "01 - red sky", "Ann Lee", "Blue Road", "Red Sky", 1, 200, 0), (2, "/b/1", "01", "A. Lee", "Blue Road", "Red Ski", 1, 201, 0), (3, "/c/1", "01 - red sky", "Ann Lee", "Blue Road", "Red Sky (Live)", 2, 260, 0),
@@ -196,8 +226,6 @@ def test_proper():
 
 
 def test_viterbi_against_all_paths(field):
-    from itertools import product
-
     words = ["Ticket", "opened", "by", "Ann"]
     e = field.scores(words)
     best = max(product(range(len(private.TAGS)), repeat=4), key=lambda p: field.trans[0, p[0]] + e[0, p[0]] + sum(field.trans[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:]))))

@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people, linked by entity.
 
-Spellings are folded (case, accents) to keys. Candidate pairs come from MinHash banding over the
-padded q-grams of a key's telling words, the number of bands being tuned from the collision
+Spellings are folded (case, accents) to keys. Candidate pairs come from weighted MinHash banding over
+the padded q-grams of a key's words, each q-gram weighing as much as its word is rare (a mistyped
+word counts as usual as the word it is near), the number of bands being tuned from the collision
 curve; a symmetric Monge-Elkan similarity over words that knows typos, initials, nicknames,
 abbreviations, acronyms and numbers verifies them; star clustering in rounds makes the entities.
 """
@@ -20,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from trackloom.session import cut
+from trackloom.session import cut, spread
 
 #: q-gram length, rows of a band, similarity of the telling words from which pairs must meet, and the recall there.
-Q, ROWS, MEET, RECALL = 3, 3, 0.4, 0.99
-#: A word in more distinct spellings than this is a form word (unless a spelling has no rarer one).
-FORM = 25
-ACCEPT = 0.8
+Q, ROWS, MEET, RECALL = 3, 4, 0.5, 0.99
+#: Power of a word's rarity that weighs its q-grams, similarity from which keys are one entity.
+STEEP, ACCEPT = 3, 0.8
+#: Keys of a band that meet in one part; larger bands are joined in parts.
+PART = 200
 # Joining words, and words with their usual short or other forms.
 JOINERS = frozenset("the and of at in for from an und et".split())
 FORMS = """
@@ -193,27 +195,85 @@ def qgrams(words: tuple[str, ...], q: int = Q) -> set[str]:
     return {p[i : i + q] for w in words for p in ["^" * (q - 1) + w + "$" * (q - 1)] for i in range(len(p) - q + 1)}
 
 
+class Signer:
+    """Weighted MinHash: each of n samples takes a q-gram, with a chance in proportion to its weight, equally for equal weights."""
+
+    def __init__(self, n: int):
+        rng = np.random.default_rng(11)
+        self.mul, self.add = rng.integers(1, 2**61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61, n, dtype=np.uint64)
+        self.rows: dict[str, tuple[int, np.ndarray]] = {}
+
+    def row(self, gram: str) -> tuple[int, np.ndarray]:
+        """Hash of a q-gram, and its exponential draw for each sample."""
+        if gram not in self.rows:
+            if len(self.rows) > 50_000:
+                self.rows.clear()
+            h = xxhash.xxh64_intdigest(gram)
+            mixed = (np.uint64(h) * self.mul + self.add) >> np.uint64(11)
+            self.rows[gram] = h, -np.log((mixed.astype(float) + 0.5) / 2.0**53)
+        return self.rows[gram]
+
+    def sign(self, weights: dict[str, float]) -> np.ndarray:
+        rows = [self.row(g) for g in sorted(weights)]
+        draws = np.stack([r for _, r in rows]) / np.array([weights[g] for g in sorted(weights)])[:, None]
+        return np.array([h for h, _ in rows], dtype=np.uint64)[draws.argmin(axis=0)]
+
+
+def forms(words: tuple[str, ...]) -> dict[str, bool]:
+    """Exact forms of a name under which another may be its short form, true where the form is the name's own.
+
+    The words in order of the alphabet as they are, and with one made its nicknames' group; and, not
+    its own, with one cut to its initial, or with a run of two to four made their initials.
+    """
+    own, other = [words], []
+    for i, w in enumerate(words):
+        own += [(*words[:i], f"~{g}", *words[i + 1 :]) for g in NICK.get(w, ())]
+        other.append((*words[:i], w[:1], *words[i + 1 :]))
+        other += [(*words[:i], "".join(v[0] for v in words[i:j]), *words[j:]) for j in range(i + 2, min(len(words), i + 4) + 1) if j - i < len(words)]
+    told = lambda f: " ".join(sorted(f))
+    return {told(f): False for f in other} | {told(f): True for f in own}
+
+
 def banded(n_bands: int):
-    """Pandas function of (field, key, words) giving the (field, band, key, words) rows of its MinHash bands."""
-    n = n_bands * ROWS
-    rng = np.random.default_rng(11)
-    mul, add = rng.integers(1, 2**61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61, n, dtype=np.uint64)
+    """Pandas function of (field, key, telling, rarity) giving the (field, band, id, own) rows of its MinHash bands.
+
+    Since q-grams say nothing of initials, nicknames and acronyms, a name also has a band for each of its
+    ``forms``, where it meets only names of which one has the form as its own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(n_bands * ROWS)
         for pdf in batches:
-            fields, ids, keys = [], [], []
-            for field, key, telling in zip(pdf["field"], pdf["key"], pdf["telling"]):
-                grams = np.array([xxhash.xxh64_intdigest(g) for g in sorted(qgrams(tuple(telling)))], dtype=np.uint64)
-                h = ((grams[:, None] * mul + add) >> np.uint64(3)).min(axis=0).reshape(n_bands, ROWS)
-                for i, row in enumerate(h):
+            fields, ids, keys, own = [], [], [], []
+            for field, key, known, words, rarity in zip(pdf["field"], pdf["key"], pdf["id"], pdf["telling"], pdf["rarity"]):
+                weights: dict[str, float] = {}
+                for w, r in zip(words, rarity):
+                    for g in qgrams((w,)):
+                        weights[g] = max(weights.get(g, 0.0), r**STEEP)
+                for i, row in enumerate(signer.sign(weights).reshape(n_bands, ROWS)):
                     ids.append(xxhash.xxh64_intdigest(row.tobytes(), seed=i) - 2**63)
-                fields += [field] * n_bands
-                keys += [key] * n_bands
-            yield pd.DataFrame({"field": fields, "band": np.array(ids, dtype=np.int64), "key": keys})
+                own += [True] * n_bands
+                for form, whole in forms(words_of(key)).items():
+                    ids.append(xxhash.xxh64_intdigest(form, seed=n_bands) - 2**63)
+                    own.append(whole)
+                fields += [field] * (len(ids) - len(fields))
+                keys += [known] * (len(ids) - len(keys))
+            yield pd.DataFrame({"field": fields, "band": np.array(ids, dtype=np.int64), "id": keys, "own": own})
 
     return run
 
 
+def shortened(word: str) -> set[str]:
+    """The word and what is left of it without any one letter: two words a typing error apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(f, w, v, n) for f, w, n in zip(pdf["field"], pdf["w"], pdf["df"]) for v in shortened(w)]
+        yield pd.DataFrame(rows, columns=["field", "w", "v", "df"])
+
+
 @F.pandas_udf(T.StringType())
 def folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold(t))
@@ -229,22 +289,47 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([monge_elkan(words_of(x), words_of(y)) for x, y in zip(a, b)], dtype=float)
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(field, a, b), a < b: pairs of keys that share a MinHash band of their telling words."""
-    split = keys.withColumn("words", split_words("key"))
-    words = split.select("field", "key", F.explode(F.array_distinct("words")).alias("w"))
+def rarities(words: DataFrame) -> DataFrame:
+    """(field, w, rarity) from (field, key, w): log of the keys for each that holds the word, or a more usual one a typing error away."""
     df = words.groupBy("field", "w").agg(F.count("*").alias("df"))
-    ranked = words.join(df, ["field", "w"]).groupBy("field", "key").agg(
-        F.collect_list(F.when((F.col("df") <= FORM) & (F.length("w") > 1) & ~F.col("w").rlike("^[0-9]+$"), F.col("w"))).alias("telling"),
-        F.min(F.struct(F.length("w") <= 1, "df", "w")).getField("w").alias("rarest"),
-    )
-    telling = ranked.select("field", "key", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.array("rarest")).alias("telling"))
-    rows = telling.mapInPandas(banded(bands()), "field string, band long, key string").distinct()
-    a, b = rows.select("field", "band", F.col("key").alias("a")), rows.select("field", "band", F.col("key").alias("b"))
-    return a.join(b, ["field", "band"]).where("a < b").select("field", "a", "b").distinct()
+    near = cut(df.mapInPandas(_shortened, "field string, w string, v string, df long"))
+    usual = near.groupBy("field", "v").agg(F.max("df").alias("most"))
+    most = near.join(usual, ["field", "v"]).groupBy("field", "w").agg(F.max("most").alias("most"))
+    total = words.select("field", "key").distinct().groupBy("field").agg(F.count("*").alias("total"))
+    return most.join(total, "field").select("field", "w", F.log1p(F.col("total") / F.col("most")).alias("rarity"))
+
 
+def candidates(keys: DataFrame) -> DataFrame:
+    """(field, a, b), a < b: pairs of keys that share a weighted MinHash band of their words.
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+    Numbers and single letters weigh only where a key has nothing else. Bands of many keys are joined
+    in parts, so that no task gets one whole.
+    """
+    split = cut(keys.withColumn("words", split_words("key")))
+    words = split.select("field", "key", F.explode(F.array_distinct("words")).alias("w"))
+    slight = (F.length("w") <= 1) | F.col("w").rlike("^[0-9]+$")
+    own = words.join(rarities(words), ["field", "w"]).groupBy("field", "key").agg(F.sort_array(F.collect_list(F.struct(slight.alias("slight"), "w", "rarity"))).alias("all"))
+    telling = F.filter("all", lambda x: ~x["slight"])
+    told = own.select("field", "key", F.when(F.size(telling) > 0, telling).otherwise(F.col("all")).alias("t")).select("field", "key", F.xxhash64("key").alias("id"), F.col("t.w").alias("telling"), F.col("t.rarity").alias("rarity"))
+    rows = cut(spread(told, by_rows=True).mapInPandas(banded(bands()), "field string, band long, id long, own boolean"))
+    parts = rows.groupBy("field", "band").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("m > 1 and any").select("field", "band", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    live = rows.join(parts, ["field", "band"])
+    a = live.select("field", "band", F.col("id").alias("a"), F.col("own").alias("own_a"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    b = live.select("field", "band", F.col("id").alias("b"), F.col("own").alias("own_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, ["field", "band", "part"]).where("a < b and (own_a or own_b)").select("field", "a", "b").distinct()
+    # keys of equal hash are all taken: the similarity decides
+    named = lambda c: split.select("field", F.xxhash64("key").alias(c), F.col("key").alias(f"{c}_key"), F.col("words").alias(f"{c}_words"))
+    shown = pairs.join(named("a"), ["field", "a"]).join(named("b"), ["field", "b"]).where(comparable("a_words", "b_words"))
+    return shown.select("field", F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+
+
+def comparable(a: str, b: str) -> F.Column:
+    """Whether names may be similar by the number of their words: equal, or one has a word so short that it may stand for several or for none."""
+    short = lambda c: F.exists(c, lambda w: F.length(w).between(2, 5))
+    return (F.size(a) == F.size(b)) | short(a) | short(b)
+
+
+def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(field, key, center): stars over the verified edges, by whole words, degree and weight.
 
     Keys without initials go before those with, since an initial may stand for several names. In every round each key that outweighs all its free neighbours becomes a center, and the free
@@ -259,9 +344,7 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataF
     other = ranked.select("field", F.col("key").alias("other"), F.col("rank").alias("other_rank"))
     live = cut(both.join(other, ["field", "other"]).join(ranked, ["field", "key"]))
     done = None
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # the free key of highest rank becomes a center in every round
         top = live.groupBy("field", "key").agg(F.max("other_rank").alias("best"), F.first("rank").alias("rank")).where("rank > best").select("field", F.col("key").alias("other"))
         joined = live.join(top, ["field", "other"]).groupBy("field", "key").agg(F.max_by("other", F.struct("sim", "other_rank")).alias("center"))
         took = cut(joined.unionByName(top.select("field", F.col("other").alias("key"), F.col("other").alias("center"))))
