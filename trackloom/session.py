@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | None = None, partitions: int = 8) -> SparkSession:
@@ -56,6 +56,14 @@ def spread(df: DataFrame, by_rows: bool = False) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def in_parts(left: DataFrame, right: DataFrame, on: list[str], size: int) -> DataFrame:
+    """Inner join on ``on`` in which a key of more than ``size`` rows on the right is split in parts, the left's rows going to each, so that no task gets a hot key whole."""
+    parts = right.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > size).select(*on, F.ceil(F.col("_rows") / size).cast("int").alias("_parts"))
+    cut_up = right.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = left.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return copied.join(cut_up, [*on, "_part"]).drop("_part")
+
+
 _shipped: set[str] = set()
 
 
