@@ -112,13 +112,30 @@ def test_link_mistyped_beside_exact(spark):
     assert linked(spark, library, f'{{"artist": "{artist}", "title": "Window Bribrulotar", "duration": 200}}') == {0, 1, 2}
 
 
-def test_link_frequent(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "FREQUENT", 2)
+@pytest.mark.parametrize("part", [2, 500])
+def test_link_frequent(spark, monkeypatch, part):
+    monkeypatch.setattr(linkage, "PART", part)
     library = [("Ann Lee", f"Album {w}", "Red Sky", None, 200) for w in ("Oak", "Elm", "Fir", "Ash", "Yew")] + [("Ann Lee", "Elm", "Cold Wind", None, 200)]
     assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky"}') == {0, 1, 2, 3, 4}
     assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sly"}') == {0, 1, 2, 3, 4}
 
 
+@pytest.mark.parametrize("n", [400, 401, 5000])
+def test_link_one_recording_on_many_albums(spark, n):
+    library = [("Ann Lee", f"Album {i:05}", "Red Evening", None, 200) for i in range(n)] + [("Ann Lee", f"Other {i:05}", "Cold Wind", None, 200) for i in range(100)]
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Evening", "duration": 200}') == set(range(n))
+    assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Evenign", "duration": 200}') == set(range(n))
+
+
+def test_refined_by_neighbours(spark):
+    """A file known with a low confidence gains by a neighbour of a higher one."""
+    library = [("Ann Lee", "Blue", "Evening Skylark", 1, 200), ("A. Lee", "Blue", "Evenign Skylrak", 1, 203)]
+    flacs = spark.createDataFrame([(i, f"/{i}", "x", *r, 0) for i, r in enumerate(library)], FLACS)
+    entries = spark.createDataFrame([(1, '{"artist": "Ann Lee", "title": "Evening Skylark"}', 1)], "match_id long, query_track string, query_id int")
+    out = {r["path"]: r["confidence"] for r in linkage.link(entries, flacs, spark.createDataFrame([], "term string")).collect()}
+    assert out["/0"] == 1.0 and out["/1"] == linkage.FADE
+
+
 def test_link_without_duration(spark):
     library = [("Ann Lee", "Blue", "Red Sky", 1, None), (None, "Blue", "Red Sky", 1, 200), (None, "Blue", "Cold Wind", 1, 200)]
     assert linked(spark, library, '{"artist": "Ann Lee", "title": "Red Sky"}') == {0, 1}
