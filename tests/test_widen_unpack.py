@@ -95,3 +95,14 @@ def test_shortest_against_brute_force():
         assert bool(parts) == (want is not None), text
         if parts:
             assert all(p in book for p in parts)
+
+
+def test_long_value_in_a_field(spark):
+    """A name with more separators than ``INNER`` is one value, found from the code book."""
+    name = ", ".join(f"P{i}x" for i in range(unpack.INNER + 6)) + " & Co"
+    flacs = spark.createDataFrame([(1, name), (2, "Ann Lee"), (3, f"{name}; Ann Lee"), (4, f'Ann Lee; "{name}"; Bob Ray'), (5, "Bob Ray")], "flac_id long, artist string")
+    tags = spark.createDataFrame([], "tag_id long, path string, tag_key string, tag_value string")
+    out = {}
+    for r in unpack.unpack(flacs, tags, spark.createDataFrame([], "term string")).collect():
+        out.setdefault(r["rec_id"], {})[r["pos"]] = r["value"]
+    assert out == {3: {1: name, 2: "Ann Lee"}, 4: {1: "Ann Lee", 2: name, 3: "Bob Ray"}}

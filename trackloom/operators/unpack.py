@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 SEPARATOR = re.compile(r"\\\\|[;|/,·\n\r\x00&+•、]|(?<=\s)(?:feat\.?|ft\.?|featuring|vs\.?|x|×|and|with|und|et)(?=\s)", re.IGNORECASE)
 HINT = r"(?i)\\\\|[;|/,·\n\r\x00&+•、]|\s(feat\.?|ft\.?|featuring|vs\.?|x|×|and|with|und|et)\s"
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "‘": "’"}
-#: A single value holds at most so many separators; bits for a separator kind, a cut, a quoted piece and a character.
+#: Values of up to so many separators are looked up from the fields' pieces, longer ones from the code book; bits for a separator kind, a cut, a quoted piece and a character.
 INNER, KIND, CUT, QUOTED, CHAR = 8, 3.0, 1.0, 1.0, 5.0
 PIECES = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("value", T.StringType())]))
 MULTI_KEYS = ("artist", "tpe1", "composer", "tcom", "performer", "genre", "tcon", "mood", "tmoo", "language", "tlan", "lang")  # fixed values
@@ -50,6 +50,37 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["text", "i", "j", "piece"])
 
 
+def head(text: str, at: list[tuple[int, int]], i: int) -> str:
+    """Start of what follows cut i, over ``INNER + 1`` pieces, by which longer values are found."""
+    return text[at[i][1] : at[i + INNER + 1][0]].strip().lstrip("".join(QUOTES)).strip().lower()
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Starts of possible long values at each cut of a text."""
+    for pdf in batches:
+        rows = [(t, i, head(t, at, i)) for t in pdf["text"] for at in [cuts(t)] for i in range(len(at) - INNER - 1)]
+        yield pd.DataFrame(rows, columns=["text", "i", "head"])
+
+
+def _long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values of the code book with more than ``INNER`` separators, by their start."""
+    for pdf in batches:
+        rows = [(head(k, at, 0), k, n) for k, n in zip(pdf["key"], pdf["n"]) for at in [cuts(k)] if len(at) > INNER + 2]
+        yield pd.DataFrame(rows, columns=["head", "key", "n"])
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text, i, j, n) where a long value stands between two cuts of a text."""
+    for pdf in batches:
+        rows = []
+        for text, i, key, n in zip(pdf["text"], pdf["i"], pdf["key"], pdf["n"]):
+            at = cuts(text)
+            for j in range(i + INNER + 2, len(at)):
+                if j - i < len(at) - 1 and bare(text[at[i][1] : at[j][0]])[0].strip().lower() == key:
+                    rows.append((text, i, j, n))
+        yield pd.DataFrame(rows, columns=["text", "i", "j", "n"])
+
+
 def shortest(text: str, known: dict[tuple[int, int], float]) -> list[str]:
     """Pieces of the cheapest parse with at least two values; empty if the field left whole is cheaper.
 
@@ -58,8 +89,12 @@ def shortest(text: str, known: dict[tuple[int, int], float]) -> list[str]:
     at = cuts(text)
     best: list[dict[frozenset, tuple[float, int, tuple]]] = [{} for _ in at]
     best[0][frozenset()] = (0.0, 0, ())
+    far: dict[int, list[int]] = {}
+    for i, j in known:
+        if j - i > INNER + 1:
+            far.setdefault(j, []).append(i)
     for j in range(1, len(at)):
-        for i in range(max(0, j - INNER - 1), j):
+        for i in (*sorted(far.get(j, ())), *range(max(0, j - INNER - 1), j)):
             p, quoted = bare(text[at[i][1] : at[j][0]])
             if p and (i, j) not in known or not p and j - i > 1 or i == 0 and j == len(at) - 1:
                 continue
@@ -95,6 +130,9 @@ def parses(texts: DataFrame, book: DataFrame) -> DataFrame:
     odd = texts.where(F.col("text").rlike(HINT)).select("text").distinct()
     total = book.agg(F.sum("n")).scalar()
     found = odd.mapInPandas(_pieces, "text string, i int, j int, piece string").withColumn("key", F.lower(F.trim("piece"))).join(book, "key")
+    heads = odd.mapInPandas(_heads, "text string, i int, head string")
+    long = heads.join(book.mapInPandas(_long, "head string, key string, n long"), "head").select("text", "i", "key", "n").mapInPandas(_met, "text string, i int, j int, n long")
+    found = found.select("text", "i", "j", "n").unionByName(long)
     own = found.withColumn("total", total).groupBy("text").agg(F.collect_list(F.struct("i", "j", "n", "total")).alias("known"))
     return own.where(F.size("known") > 1).select("text", _parse("text", "known").alias("pieces")).where(F.size("pieces") > 1)
 
