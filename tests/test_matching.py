@@ -112,3 +112,29 @@ def test_fuzzy_top(spark, monkeypatch):
         out.setdefault(r["norm_query"], []).append((r["score"], r["norm"]))
     for q in ("red sky", "winds", ""):
         assert out[q] == [(w(q, n), n) for n in sorted(norms, key=lambda n: (-w(q, n), n))[:3]]
+
+
+def test_fallback_without_index_hit(spark):
+    """Titles with accents or apostrophes share no index word; the most similar files stand in, and the rules of acceptance hold."""
+    library = spark.createDataFrame([("/m/Motörhead - Überkiller.flac", "motörhead - überkiller", 1, None), ("/m/Ann - Çığlık.flac", "ann - çığlık", 2, None), ("/m/Bob - Other.flac", "bob - other", 3, None)], LIB)
+    playlist = spark.createDataFrame([(0, "Motörhead - Überkiller (Live)"), (1, "Ünß Äöü"), (2, "Ø")], "pos long, track string")
+    found = matching.best(playlist, library, "n")
+    out = {r["track"]: r["path"] for r in matching.one_to_one(found, playlist).collect()}
+    assert out == {"Motörhead - Überkiller (Live)": "/m/Motörhead - Überkiller.flac", "Ünß Äöü": None, "Ø": None}
+    assert matching.best(playlist, library.limit(0), "n").count() == 0
+    top = matching.review_candidates(playlist, library, "n").where("track = 'Motörhead - Überkiller (Live)'").orderBy("rank").collect()
+    assert top[0]["path"] == "/m/Motörhead - Überkiller.flac" and len(top) == 3
+
+
+def test_weighted_block_against_every_pair():
+    from trackloom.functions.similarity import WeightedBlock, weighted_ratio_number
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdé", k=r.choice((1, 2, 2, 3, 5, 8))))
+    text = lambda: r.choice((" ", " - ")).join(word() for _ in range(r.choice((0, 1, 2, 3, 5, 14))))
+    texts = sorted({text() for _ in range(300)})
+    block = WeightedBlock(texts)
+    for _ in range(60):
+        q = text()
+        want = sorted((-weighted_ratio_number(q, t), t) for t in texts)[:12]
+        assert [(-s, texts[i]) for s, i in block.top(q, 12)] == want

@@ -195,9 +195,12 @@ def ratio_score(q: dict[str, Column], c: dict[str, Column], text_ratio=ratio, no
 # ---- weighted ratio, from its published definition
 
 
+def clean(s: str) -> str:
+    return " ".join("".join(ch if ch.isalnum() else " " for ch in s.lower()).split())
+
+
 def weighted_ratio_number(a: str, b: str) -> int:
     """Best of plain, sorted-word, word-set and windowed ratios, the latter scaled by how different the lengths are."""
-    clean = lambda s: " ".join("".join(ch if ch.isalnum() else " " for ch in s.lower()).split())
     a, b = clean(a), clean(b)
     if not a or not b:
         return 0
@@ -221,6 +224,54 @@ def weighted_ratio_number(a: str, b: str) -> int:
     return round(max(plain, scale * window(a, b), 0.95 * scale * window(ordered(a), ordered(b)), 0.95 * scale * by_set(a, b, window)))
 
 
+class WeightedBlock:
+    """Texts of a library block of which the most like a query by the weighted ratio are found without comparing each.
+
+    Plain ratios are worked out for all texts at once; with the longest common subsequence they bound
+    the windowed ones from above, and shared words from below. Only texts whose bounds differ and reach
+    into the best k are compared in full.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        own = [clean(t) for t in texts]
+        self.plain, self.ordered, self.unique = (TextBlock(x) for x in (own, [" ".join(sorted(t.split())) for t in own], [" ".join(sorted(set(t.split()))) for t in own]))
+        self.having: dict[str, list[int]] = {}
+        for i, t in enumerate(own):
+            for w in set(t.split()):
+                self.having.setdefault(w, []).append(i)
+
+    def top(self, query: str, k: int) -> list[tuple[int, int]]:
+        """(score, index) of the k best texts, ties by text."""
+        q = clean(query)
+        if not q or not self.texts:
+            return [(0, i) for i in sorted(range(len(self.texts)), key=lambda i: self.texts[i])[:k]]
+        n, lengths = len(q), self.plain.lengths
+        shares = np.zeros(len(self.texts), dtype=bool)
+        for w in set(q.split()):
+            shares[self.having.get(w, [])] = True
+        plain, ordered, unique = self.plain.ratios(q), self.ordered.ratios(" ".join(sorted(q.split()))), self.unique.ratios(" ".join(sorted(set(q.split()))))
+
+        def windowed(ratio: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
+            common = ratio * (m + other) / 200.0
+            return np.where(common > 0, 200.0 * common / (np.minimum(m, other) + common + 1e-9) + 1e-6, 0.0)
+
+        times = np.maximum(lengths, n) / np.maximum(np.minimum(lengths, n), 1)
+        scale = np.where(times < 8, 0.9, 0.6)
+        near = times < 1.5
+        low = np.where(near, np.maximum(plain, 0.95 * ordered), np.maximum(plain, np.where(shares, 95.0 * scale, 0.0)))
+        by_windows = np.maximum(windowed(plain, n, lengths), 0.95 * windowed(ordered, n, self.ordered.lengths))
+        m = len(" ".join(set(q.split())))
+        high = np.where(near, np.maximum(low, np.where(shares, 95.0, 0.95 * unique)), np.maximum(low, scale * np.maximum(by_windows, np.where(shares, 95.0, 0.95 * windowed(unique, m, self.unique.lengths)))))
+        empty = lengths == 0
+        low, high = np.where(empty, 0.0, np.minimum(low, 100.0)), np.where(empty, 0.0, np.minimum(high, 100.0))
+        floor, roof = np.rint(low - 1e-6).astype(int), np.rint(high + 1e-6).astype(int)
+        least = np.sort(floor)[-min(k, len(floor))]
+        reach = np.flatnonzero(roof >= least)
+        scored = [(weighted_ratio_number(query, self.texts[i]) if roof[i] > floor[i] else int(floor[i]), int(i)) for i in reach]
+        return sorted(scored, key=lambda x: (-x[0], self.texts[x[1]]))[:k]
+
+
 @F.pandas_udf(T.IntegerType())
 def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio_number(x or "", y or "") for x, y in zip(a, b)], dtype="int32")

@@ -31,6 +31,12 @@ def candidates(queries: DataFrame, choices: DataFrame, key: str = "norm_query",
     return asked.join(postings(choices), "word").select(key, "norm").distinct()
 
 
+def candidates_exist(queries: DataFrame, choices: DataFrame, key: str = "norm_query", text: str = "search_text") -> DataFrame:
+    """(norm_query): queries that share an index word with any row; the words meet as distinct words, so no pair is made."""
+    asked = queries.select(key, F.explode(query_words(text)).alias("word")).distinct()
+    return asked.join(postings(choices).select("word").distinct(), "word", "left_semi").select(key).distinct()
+
+
 def scan_in_blocks(queries: DataFrame, library: DataFrame, best: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run ``best(queries, rows)`` on every block of queries with every block of rows.
 

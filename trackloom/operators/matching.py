@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trackloom.config import Config
 from trackloom.functions.paths import hidden, parse_path, query_text
-from trackloom.functions.similarity import TextBlock, describe, track_score, weighted_ratio_number, word_share
+from trackloom.functions.similarity import TextBlock, WeightedBlock, describe, track_score, word_share
 from trackloom.functions.text import squash, strip
-from trackloom.operators.blocking import candidates, scan_in_blocks
+from trackloom.operators.blocking import candidates, candidates_exist, scan_in_blocks
 from trackloom.operators.library import last_by_norm
 
 
@@ -32,24 +32,41 @@ def asked(playlist: DataFrame, ascii_only: bool = False) -> DataFrame:
     )
 
 
-def scored(queries: DataFrame, options: DataFrame) -> DataFrame:
-    """(track, pos, copies, norm_query, norm, path, score): every candidate of a query that no norm equals, with its score."""
+#: Files that a query without an index hit, or a review, is seeded with.
+SEED = 50
+
+
+def scored(queries: DataFrame, options: DataFrame, fallback: bool = True) -> DataFrame:
+    """(track, pos, copies, norm_query, norm, path, score): every candidate of a query that no norm equals, with its score.
+
+    Candidates share an index word; a query that shares none with any file has the ``SEED`` norms most
+    like it (``fallback``).
+    """
     open_ = queries.join(options.select(F.col("norm").alias("norm_query")), "norm_query", "left_anti")
     pairs = candidates(open_, options)
-    return open_.join(pairs, "norm_query").join(options, "norm").withColumn("score", track_score(F.col("s"), F.col("c"))).select("track", "pos", "copies", "norm_query", "norm", "path", "score")
+    if fallback:
+        none = open_.select("norm_query").distinct().join(candidates_exist(open_, options), "norm_query", "left_anti")
+        pairs = pairs.unionByName(fuzzy_top(none, options, SEED).select("norm_query", "norm"))
+    return rescored(open_, pairs, options)
+
 
+def rescored(queries: DataFrame, pairs: DataFrame, options: DataFrame) -> DataFrame:
+    """The queries with their candidates of ``pairs`` (norm_query, norm) and the scores of those."""
+    own = queries.join(pairs, "norm_query").join(options, "norm")
+    return own.withColumn("score", track_score(F.col("s"), F.col("c"))).select("track", "pos", "copies", "norm_query", "norm", "path", "score")
 
-def best(playlist: DataFrame, library: DataFrame, order: str, ascii_only: bool = False) -> DataFrame:
+
+def best(playlist: DataFrame, library: DataFrame, order: str, ascii_only: bool = False, fallback: bool = True) -> DataFrame:
     """(track, pos, copies, norm_query, norm, path, score): the best candidate of each query.
 
-    A norm equal to the query scores 100. Else the best of the files that share an index word; ties go
-    to the smaller norm. A query without any such file has no row: by the word-overlap rule that
-    follows in every matcher it could not be accepted.
+    A norm equal to the query scores 100. Else the best of the files that share an index word, or
+    where none does of those most like the query; ties go to the smaller norm. An empty library gives
+    no rows.
     """
     queries, options = asked(playlist, ascii_only), choices(lookup_with(library, order), order, ascii_only)
     sure = queries.join(options.select(F.col("norm").alias("norm_query"), "path"), "norm_query").select("track", "pos", "copies", "norm_query", F.col("norm_query").alias("norm"), "path", F.lit(100.0).alias("score"))
     # max of (score, reversed order of norm) needs no sort: the smallest (-score, norm) wins
-    top = scored(queries, options).groupBy("track", "pos", "copies", "norm_query").agg(F.min(F.struct((-F.col("score")).alias("minus"), "norm", "path")).alias("b"))
+    top = scored(queries, options, fallback).groupBy("track", "pos", "copies", "norm_query").agg(F.min(F.struct((-F.col("score")).alias("minus"), "norm", "path")).alias("b"))
     return sure.unionByName(top.select("track", "pos", "copies", "norm_query", "b.norm", "b.path", (-F.col("b.minus")).alias("score")))
 
 
@@ -65,7 +82,7 @@ def one_to_one(matches: DataFrame, playlist: DataFrame, conf: Config = Config())
     more than once keeps its file used but ends without it; ``keep_first`` leaves it the file.
     """
     fit = matches.where((F.col("score") >= conf.threshold_auto_match) & (word_share("norm_query", "norm") >= conf.word_overlap_reject))
-    firsts = fit.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("pos", "track"))).where("turn = 1")
+    firsts = fit.groupBy("path").agg(F.min_by(F.struct("track", "copies", "score"), F.struct("pos", "track")).alias("f")).select("path", "f.*")
     won = firsts.where("copies = 1") if conf.dup_policy == "compat" else firsts
     tracks = playlist.where("track is not null").groupBy("track").agg(F.min("pos").alias("pos"))
     return tracks.join(won.select("track", "path", "score"), "track", "left").select("pos", "track", "path", "score")
@@ -75,8 +92,8 @@ def classify(matches: DataFrame, playlist: DataFrame, conf: Config = Config()) -
     """(pos, track, status, path, score): auto, review or unmatched; a good score without shared words is unmatched."""
     near = matches.withColumn("ok", word_share("norm_query", "norm") >= conf.word_overlap_reject)
     auto = F.col("ok") & (F.col("score") >= conf.threshold_auto_match)
-    first = F.min(F.when(F.col("auto"), F.struct("pos", "track"))).over(Window.partitionBy("path"))
-    ranked = near.withColumn("auto", auto).withColumn("taken", F.coalesce(first < F.struct("pos", "track"), F.lit(False)))
+    firsts = near.where(auto).groupBy("path").agg(F.min(F.struct("pos", "track")).alias("first"))  # combined before the shuffle, so that a popular file is no task of its own
+    ranked = near.withColumn("auto", auto).join(firsts, "path", "left").withColumn("taken", F.coalesce(F.col("first") < F.struct("pos", "track"), F.lit(False)))
     band = F.col("ok") & (F.col("score") >= conf.threshold_review_min) & (F.col("score") < conf.threshold_auto_match)
     status = F.when(F.col("taken"), "unmatched").when(F.col("auto"), "auto").when(band, "review").otherwise("unmatched")
     told = ranked.withColumn("status", status)
@@ -85,11 +102,18 @@ def classify(matches: DataFrame, playlist: DataFrame, conf: Config = Config()) -
     return out.select("pos", "track", F.coalesce("status", F.lit("unmatched")).alias("status"), F.when(F.col("status") == "auto", F.col("path")).alias("path"), "score")
 
 
-def review_candidates(playlist: DataFrame, library: DataFrame, order: str, k: int = 5, ascii_only: bool = False) -> DataFrame:
-    """(track, rank, path, score): the k best files of each track that no norm equals, of those sharing a word; by score, then norm."""
-    pairs = scored(asked(playlist, ascii_only), choices(lookup_with(library, order), order, ascii_only))
+def review_candidates(playlist: DataFrame, library: DataFrame, order: str, k: int = 5, ascii_only: bool = False, seed: str = "fuzzy") -> DataFrame:
+    """(track, rank, path, score): the k best files of each track that no norm equals; by score, then norm.
+
+    ``seed``: "fuzzy" ranks the norms most like the track, ten times k and ``SEED`` at least, found over
+    the whole library in blocks; "words" all files that share an index word with it; "both" either.
+    """
+    queries, options = asked(playlist, ascii_only), choices(lookup_with(library, order), order, ascii_only)
+    open_ = queries.join(options.select(F.col("norm").alias("norm_query")), "norm_query", "left_anti")
+    like = lambda: fuzzy_top(open_.select("norm_query"), options, max(10 * k, SEED)).select("norm_query", "norm")
+    pairs = like() if seed == "fuzzy" else candidates(open_, options) if seed == "words" else candidates(open_, options).unionByName(like()).distinct()
     rank = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("score"), "norm"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("track", "rank", "path", "score")
+    return rescored(open_, pairs, options).withColumn("rank", rank).where(F.col("rank") <= k).select("track", "rank", "path", "score")
 
 
 def overlay(auto: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -219,10 +243,10 @@ def fuzzy_top(queries: DataFrame, library: DataFrame, k: int = 50) -> DataFrame:
     """
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for q in a["norm_query"]:
-            own = sorted((-weighted_ratio_number(q, n), n, p) for n, p in zip(b["norm"], b["path"]))[:k]
-            rows += [(q, n, p, -s) for s, n, p in own]
+        rows, norms, paths = [], b["norm"].tolist(), b["path"].tolist()
+        if len(a) and norms:
+            block = WeightedBlock(norms)
+            rows = [(q, norms[i], paths[i], s) for q in a["norm_query"] for s, i in block.top(q, k)]
         return pd.DataFrame(rows, columns=["norm_query", "norm", "path", "score"])
 
     tops = scan_in_blocks(queries.select("norm_query").distinct(), library.select("norm", "path"), run, "norm_query string, norm string, path string, score int")
@@ -230,7 +254,7 @@ def fuzzy_top(queries: DataFrame, library: DataFrame, k: int = 50) -> DataFrame:
     return tops.withColumn("rank", rank).where(F.col("rank") <= k).select("norm_query", "rank", "norm", "path", "score")
 
 
-def manual_candidates(playlist: DataFrame, matches: DataFrame, library: DataFrame, order: str, k: int = 5, ascii_only: bool = False) -> DataFrame:
-    """The k best files of each track that ended without one."""
+def manual_candidates(playlist: DataFrame, matches: DataFrame, library: DataFrame, order: str, k: int = 5, ascii_only: bool = False, seed: str = "both") -> DataFrame:
+    """The k best files of each track that ended without one, of those that share a word with it or are most like it."""
     open_ = playlist.join(matches.where("path is null").select("track"), "track", "left_semi")
-    return review_candidates(open_, library, order, k, ascii_only)
+    return review_candidates(open_, library, order, k, ascii_only, seed)

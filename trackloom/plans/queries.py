@@ -154,7 +154,7 @@ def token_split(spark, d):
 
 
 def index_postings(spark, d):
-    return blocking.postings(flacs(spark, d)).distinct()
+    return blocking.postings(flacs(spark, d))
 
 
 def _options(spark, d):
@@ -222,7 +222,7 @@ def weighted_ratio(spark, d):
 
 
 def score_v1(spark, d):
-    return matching.scored(_asked(spark, d), _options(spark, d)).select("track", "norm", _tenths())
+    return matching.scored(_asked(spark, d), _options(spark, d), False).select("track", "norm", _tenths())
 
 
 def score_v2(spark, d):
@@ -245,7 +245,8 @@ def _one(spark, d):
 
 
 def match_best(spark, d):
-    return _best(spark, d).select("pos", "track", "norm", "path", _tenths())
+    """Best of the files that share an index word, which SQL can state; the matchers below fall back to similar files as well."""
+    return matching.best(parts_playlist(spark, d), parts_library(spark, d), "lib_id", True, False).select("pos", "track", "norm", "path", _tenths())
 
 
 def match_one_to_one(spark, d):
@@ -261,11 +262,11 @@ def match_classify(spark, d):
 
 
 def review_topk(spark, d):
-    return matching.review_candidates(parts_playlist(spark, d), parts_library(spark, d), "lib_id", 5, True).select("track", "rank", "path", _tenths())
+    return matching.review_candidates(parts_playlist(spark, d), parts_library(spark, d), "lib_id", 5, True, "words").select("track", "rank", "path", _tenths())
 
 
 def manual_topk(spark, d):
-    top = matching.manual_candidates(parts_playlist(spark, d), _one(spark, d), parts_library(spark, d), "lib_id", 5, True)
+    top = matching.manual_candidates(parts_playlist(spark, d), _one(spark, d), parts_library(spark, d), "lib_id", 5, True, "words")
     return top.select("track", "rank", "path", _tenths())
 
 
@@ -284,6 +285,18 @@ def match_entries(spark, d):
     return matching.one_to_one(matching.best(entries(spark, d), flacs(spark, d), "flac_id"), entries(spark, d)).select("pos", "track", "path", _tenths())
 
 
+def review_entries(spark, d):
+    """The five best files of each entry that ends without one, of the fifty most like it in the whole library."""
+    one = matching.one_to_one(matching.best(entries(spark, d), flacs(spark, d), "flac_id"), entries(spark, d)).where("path is null")
+    open_ = entries(spark, d).where(F.col("pos") % 100 == 0).join(one.select("track"), "track", "left_semi")  # a search: its queries are the ids divisible by 100
+    return matching.review_candidates(open_, flacs(spark, d), "flac_id").select("track", "rank", "path", _tenths())
+
+
+def classify_entries(spark, d):
+    """The entries of the playlists as matched, for review, or unmatched."""
+    return matching.classify(matching.best(entries(spark, d), flacs(spark, d), "flac_id"), entries(spark, d)).select("pos", "track", "status", "path")
+
+
 def _structs(spark, d):
     tracks = table(spark, d, "matches").select("match_id", F.concat(F.lit("["), "query_track", F.lit("]")).alias("value"))
     return sources.json_structs(tracks, keep=("match_id",)).select(F.col("match_id").alias("pos"), "artist", "album", "title", "duration")
