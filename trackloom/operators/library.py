@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -120,38 +119,58 @@ def columns_of(spark: SparkSession, folder: str, name: str) -> list[str]:
 
 
 class Snapshots:
-    """A library kept as versioned Parquet folders with a pointer, so that a refresh never overwrites what it reads."""
+    """A library kept as versioned Parquet folders with a pointer, so that a refresh never overwrites what it reads.
+
+    Works on any file system Spark knows. A refresh holds the file LOCK, made only where there is
+    none; a second refresh meanwhile is an error, so that none is lost.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, str(folder).rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self.folder}/{name}")
 
     @property
-    def current(self) -> Path | None:
-        pointer = self.folder / "CURRENT"
-        return self.folder / pointer.read_text().strip() if pointer.exists() else None
+    def current(self) -> str | None:
+        """Name of the version that the pointer, the newest file CURRENT-n-version, names."""
+        found = self._pointers()
+        return found[-1][1] if found else None
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(n, version) of the pointer files CURRENT-n-version, oldest first."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder)))
+        return sorted((int(n), v) for _, n, v in (x.split("-") for x in names if x.startswith("CURRENT-")))
 
     def read(self) -> DataFrame:
         if (at := self.current) is None:
             return self.spark.createDataFrame([], schemas.LIBRARY_TEXT)
-        return self.spark.read.parquet(str(at))
+        return self.spark.read.parquet(f"{self.folder}/{at}")
 
     def write(self, library: DataFrame) -> DataFrame:
-        """Write a new version, then move the pointer; the version before stays for readers."""
-        self.folder.mkdir(parents=True, exist_ok=True)
-        before = self.current
+        """Write a new version, then a new pointer; the version before stays for readers."""
+        before = self._pointers()
         name = f"v{uuid.uuid4().hex}"
-        library.write.parquet(str(self.folder / name))
-        (self.folder / "NEXT").write_text(name)
-        (self.folder / "NEXT").replace(self.folder / "CURRENT")
-        for old in self.folder.glob("v*"):
-            if old.name != name and old != before:
-                for p in sorted(old.rglob("*"), reverse=True):
-                    p.unlink() if p.is_file() else p.rmdir()
-                old.rmdir()
+        library.write.parquet(f"{self.folder}/{name}")
+        self._fs.create(self._at(f"CURRENT-{before[-1][0] + 1 if before else 0}-{name}"), False).close()
+        for n, old in before[:-1]:
+            self._fs.delete(self._at(old), True)
+            self._fs.delete(self._at(f"CURRENT-{n}-{old}"), False)
         return self.read()
 
     def refresh(self, scan: DataFrame, root: str, norm_prefix: str = "") -> DataFrame:
-        return self.write(refreshed(self.read(), scan, root, norm_prefix))
+        self._fs.mkdirs(self._path(self.folder))
+        if not self._fs.createNewFile(self._at("LOCK")):
+            raise RuntimeError(f"{self.folder} is being refreshed (remove LOCK if that ended early)")
+        try:
+            return self.write(refreshed(self.read(), scan, root, norm_prefix))
+        finally:
+            self._fs.delete(self._at("LOCK"), False)
 
 
 def odd_rates(library: DataFrame, usual: int = 44100) -> DataFrame:

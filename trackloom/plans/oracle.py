@@ -221,6 +221,8 @@ def sql() -> dict[str, str]:
         "m3u_plain": f"{ALL}, {ONE} select pos, path line from one where path is not null",
         "m3u_annotated": f"{ALL}, {ONE} select pos, chr(10) || '# Track ' || row_number() over (order by pos) || ': ' || track || chr(10) || '# ' || repeat('=', 60) || chr(10) || path line from one where path is not null",
         "json_mapping": f"{ALL}, {ONE} select pos, cast(to_json(track) as varchar) || ': ' || coalesce(cast(to_json(path) as varchar), 'null') line from one",
+        "songshift_json": f"""{ALL}, {ONE} select pl.pos, cast(to_json(struct_pack(artist := case when contains(pl.track, ' - ') then {strip("left(pl.track, position(' - ' in pl.track) - 1)")} else 'Unknown Artist' end,
+          track := {strip("case when contains(pl.track, ' - ') then substr(pl.track, position(' - ' in pl.track) + 3) else pl.track end")})) as varchar) json from pl join one on pl.track = one.track where one.path is null""",
         "tag_coalesce": """with t as (select path, tag_key, arg_min(tag_value, tag_id) v from flac_tags where path is not null and tag_key in ('artist','ARTIST','TPE1','album','ALBUM','TALB','title','TITLE','TIT2','tracknumber','TRACKNUMBER','TRCK','date','DATE','year','YEAR','TDRC') and tag_value is not null group by 1, 2),
           m as (select path, map_from_entries(list((tag_key, v))) m from t group by path)
           select path, coalesce(m['artist'], m['ARTIST'], m['TPE1']) artist, coalesce(m['album'], m['ALBUM'], m['TALB']) album, coalesce(m['title'], m['TITLE'], m['TIT2']) title,
@@ -236,6 +238,6 @@ def sql() -> dict[str, str]:
           left join (select {squash('title')} key, min(path) path from flacs where title is not null group by 1) t using (key) left join (select norm key, min(path) path from flacs group by 1) n using (key)""",
         "length_ratio": "select flac_id, case when artist = album then 100 else cast(floor(100 * (1 - abs(length(artist) - length(album))::double / greatest(length(artist), length(album), 1))) as int) end ratio from flacs where artist is not null and album is not null",
         "p2_found": f"with {CELLS}, {picked} select path, field from picked",
-        "p2_wide": f"with {CELLS}, {picked} select p.path, {wide_cols} from (select distinct path from keyed) p left join picked using (path) group by p.path",
+        "p2_wide": f"with {CELLS}, {picked} select p.path, {wide_cols}, coalesce(max(f.failures), '') failures from (select distinct path from keyed) p left join picked using (path) left join (select path, string_agg(field || '=' || n, ',' order by field || '=' || n) failures from (select path, field, count(*) n from cells where field is not null and val is null group by path, field) group by path) f using (path) group by p.path",
         "p2_failures": f"with {CELLS} select c.tag_id, c.path, c.field, k.raw from cells c join keyed k using (tag_id) where c.field is not null and c.val is null",
     }

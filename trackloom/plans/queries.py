@@ -345,7 +345,7 @@ def json_mapping(spark, d):
 
 
 def songshift_json(spark, d):
-    return sinks.songshift(unmatched_split(spark, d))
+    return sinks.songshift_items(unmatched_split(spark, d))
 
 
 def match_report_json(spark, d):
@@ -360,7 +360,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.wide(table(spark, d, "flac_tags")).drop("cast_failures")
+    """The wide table; ``failures`` tells the number of unreadable values of each field that has any, as "field=n" by field."""
+    told = F.transform(F.map_entries("cast_failures"), lambda e: F.concat_ws("=", e["key"], e["value"]["n"].cast("string")))
+    w = widen.wide(table(spark, d, "flac_tags"))
+    return w.withColumn("failures", F.array_join(F.array_sort(told), ",")).drop("cast_failures")
 
 
 def p2_failures(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def local_session(cores: int | None = None, partitions: int = 8) -> SparkSession:
@@ -30,12 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    unset and the master is local (tests on one machine) a temporary folder takes its place.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-"))
     return df.checkpoint(eager=True)
 
@@ -56,6 +58,15 @@ def spread(df: DataFrame, by_rows: bool = False) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Add ``name``, the number (from 1) of each row in the order of ``by``, without one task that gets all: rows are sorted in ranges, and each range starts where those before it end."""
+    ranges = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return ranges.join(starts, "_range").withColumn(name, F.row_number().over(within.orderBy(*by)) + F.col("_start")).drop("_range", "_start")
+
+
 def in_parts(left: DataFrame, right: DataFrame, on: list[str], size: int) -> DataFrame:
     """Inner join on ``on`` in which a key of more than ``size`` rows on the right is split in parts, the left's rows going to each, so that no task gets a hot key whole."""
     parts = right.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > size).select(*on, F.ceil(F.col("_rows") / size).cast("int").alias("_parts"))
