@@ -154,6 +154,37 @@ def test_cli(spark, tmp_path, music, capsys):
     assert main([*base, "match", "ratio", str(j), "--output", str(tmp_path / "r.json")], spark) == 0
     assert main([*base, "match", "auto", "/no/such"], spark) == 1
     assert main(["config", "show"]) == 0
+    assert main([*base, "match", "review", str(p), "--output", str(tmp_path / "rev.m3u")], spark) == 0
+    told = capsys.readouterr().out
+    assert "auto\tone" in told and "unmatched\tnothing here" in told and "auto=1 review=0 unmatched=1" in told
+    c = str(tmp_path / "conf" / "c.json")
+    assert main(["config", "init"]) == 1 and main(["--config", c, "config", "init"]) == 0 and main(["--config", c, "config", "set", "threshold_auto_match=91"]) == 0
+    assert config.load(c, {}).threshold_auto_match == 91
+
+
+def test_ratio_of_scanned_library(spark, tmp_path, capsys):
+    """The second engine knows artist and album of scanned files from their folders."""
+    from trackloom.cli import main
+
+    folder = tmp_path / "music" / "Ann Lee" / "Blue"
+    folder.mkdir(parents=True)
+    for name in ("01 - Red Sky.flac", "02 - Green Sea.flac"):
+        (folder / name).write_bytes(b"x")
+    base = ["--library", str(tmp_path / "lib"), "--root", str(tmp_path / "music")]
+    assert main([*base, "get", "library"], spark) == 0
+    j = tmp_path / "p.json"
+    j.write_text('[{"artist": "Ann Lee", "title": "Red Sky", "album": "Blue"}, {"artist": "Bob", "title": "Qxz"}]')
+    assert main([*base, "match", "ratio", str(j), "--output", str(tmp_path / "r.m3u")], spark) == 0
+    assert (tmp_path / "r.m3u").read_text().splitlines()[1:] == [str(folder / "01 - Red Sky.flac")]
+
+
+def test_snapshots_keep_one_writer(spark, tmp_path):
+    store = lib.Snapshots(spark, str(tmp_path / "lib"))
+    rows = spark.createDataFrame([("/m/a.flac", 1)], "path string, mtime long")
+    assert store.refresh(rows, "/m").count() == 1 and store.refresh(rows.limit(0), "/m").count() == 0
+    (tmp_path / "lib" / "LOCK").write_text("")
+    with pytest.raises(RuntimeError):
+        store.refresh(rows, "/m")
 
 
 def test_run_and_tables(spark, tmp_path, music, data):

@@ -10,10 +10,11 @@ from dataclasses import asdict, replace
 from pyspark.sql import functions as F
 
 from trackloom import config
+from trackloom.functions.paths import parse_path_by_folder
 from trackloom.operators import library as lib
 from trackloom.operators import matching
 from trackloom.plans.run import KINDS, run_matcher
-from trackloom.session import local_session
+from trackloom.session import local_session, ship
 from trackloom.sinks import playlists as sinks
 from trackloom.sources.files import scan
 from trackloom.sources.playlists import read_playlist, read_structs
@@ -53,18 +54,47 @@ def arguments() -> argparse.ArgumentParser:
     run.add_argument("--out", default="m3u", choices=KINDS)
     run.add_argument("--threshold", type=int, default=int(os.environ.get(config.PREFIX + "AUTO_THRESHOLD", 60)))
     run.add_argument("--title-threshold", type=int, default=int(os.environ.get(config.PREFIX + "TITLE_THRESHOLD", 70)))
-    sub.add_parser("config").add_argument("what", choices=("show",))
+    c = sub.add_parser("config")
+    c.add_argument("what", choices=("show", "init", "set"))
+    c.add_argument("pairs", nargs="*", help="name=value of settings to set")
     return p
 
 
+FIELDS = ("artist", "album", "title")
+
+
+def review_report(playlist, library, conf, output: str | None) -> int:
+    """Print each track as auto, review or unmatched, those not matched with their best files; write the matched ones."""
+    told = matching.classify(matching.best(playlist, library, "mtime"), playlist, conf)
+    open_ = playlist.join(told.where("status <> 'auto'").select("track"), "track", "left_semi")
+    top = matching.review_candidates(open_, library, "mtime").groupBy("track").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))).alias("top"))  # five a track
+    counts = {}
+    for r in told.join(top, "track", "left").orderBy("pos").toLocalIterator():
+        counts[r["status"]] = counts.get(r["status"], 0) + 1
+        print(r["status"], r["track"], *([r["path"]] if r["path"] else []), sep="\t")
+        for c in (r["top"] or []) if r["status"] != "auto" else []:
+            print("", c["rank"], c["score"], c["path"], sep="\t")
+    print(*(f"{s}={counts.get(s, 0)}" for s in ("auto", "review", "unmatched")))
+    if output:
+        sinks.write_m3u(told, output)
+    return 0
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = arguments().parse_args(argv)
     conf = config.load(a.config)
     conf = replace(conf, library_roots=tuple(a.root) if a.root else conf.library_roots, db_path=a.library or conf.db_path)
+    if a.command == "config" and a.what in ("init", "set"):
+        if not a.config:
+            print("--config names no file", file=sys.stderr)
+            return 1
+        config.save(conf if a.what == "init" else config.changed(conf, dict(p.split("=", 1) for p in a.pairs)), a.config)
+        return 0
     if a.command == "config":
         print("\n".join(f"{k}={v}" for k, v in asdict(conf).items()))
         return 0
     spark = spark or local_session()
+    ship(spark)
     store = lib.Snapshots(spark, str(config.guarded(conf.db_path)))
     if (a.command, a.what) == ("get", "library"):
         if not conf.library_roots:
@@ -85,7 +115,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0
     if (a.command, a.what) == ("match", "ratio"):
         queries = read_structs(spark, a.playlist)
-        tracks = lib.migrated(store.read()).withColumn("duration", F.lit(None).cast("int"))
+        own = lib.migrated(store.read())
+        told = parse_path_by_folder(own.select("path", *(F.col(c).alias(f"{c}_kept") for c in FIELDS), (F.col("duration") if "duration" in own.columns else F.lit(None)).cast("int").alias("duration")))
+        tracks = told.select("path", "duration", *(F.when(F.trim("artist_kept" if c == "title" else f"{c}_kept") != "", F.col(f"{c}_kept")).otherwise(F.col(c)).alias(c) for c in FIELDS))  # a title without artist is the mere stem
         done = matching.match_by_ratio(queries, tracks, a.threshold, min(70, a.threshold))
         if a.output and a.output.endswith(".m3u"):
             sinks.write_m3u(done.where("status = 'matched'"), a.output)
@@ -101,6 +133,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(playlist.count())
         return 0
     library = store.read()
+    if a.command == "match" and a.what == "review" and not a.decisions:
+        return review_report(playlist, library, conf, a.output)
     if a.command == "match" and a.what == "auto" and a.backend == "simple":
         found = matching.match_simple(playlist, library, "mtime", conf.threshold_auto_match)
     else:
