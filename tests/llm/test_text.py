@@ -64,6 +64,22 @@ def test_plain_is_at_rest(text):
     assert lookalike.plain(once) == once == unicodedata.normalize("NFC", once)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(min_codepoint=0xC0, max_codepoint=0x24F), st.characters(min_codepoint=0x300, max_codepoint=0x36F), st.characters(min_codepoint=0x1E00, max_codepoint=0x1EFF), st.characters(min_codepoint=0x1100, max_codepoint=0x11C2), st.sampled_from("aeiouAEO")), max_size=12))
+def test_transducer_composes_as_unicode_does(text):
+    """Where no character is of a compatibility form, the transducer's one pass gives the composed form."""
+    if all(lookalike.plain_table().get(ch, ch) == unicodedata.normalize("NFC", ch) for ch in text):
+        assert "".join(c + "".join(m) for c, m in lookalike.transducer().clusters(text)) == unicodedata.normalize("NFC", text)
+
+
+def test_clusters_of_several_characters():
+    machine = lookalike.transducer()
+    assert machine.clusters("e\u0302\u0323") == machine.clusters("e\u0323\u0302") == [("ệ", [])]
+    assert machine.clusters("\uff25\u0301") == [("É", [])] and machine.clusters("a\u200b\u0301") == [("á", [])]
+    assert machine.clusters("q\u0301") == [("q", ["\u0301"])] and machine.clusters("\u1112\u1161\u11ab") == [("한", [])]
+    assert len(machine.arcs) > 10_000
+
+
 def test_tables_do_not_conflict():
     table = lookalike.plain_table()
     assert all(x not in table for out in table.values() for x in out) and len(table) > 1000

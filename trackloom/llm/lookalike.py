@@ -2,9 +2,11 @@
 
 A mapping is compiled once, from rules over the Unicode tables and a fixed list of look-alike
 letters, into a longest-match transducer over grapheme clusters: compatibility forms, separate
-accents, invisible characters, unusual spaces and hyphens, and letters of another script. The
-compiler checks the mapping for conflicts (two outputs for one input, outputs that are inputs).
-Letters of another script depend on the script of their word, so there is one table a script.
+accents in any order, invisible characters, unusual spaces and hyphens, and letters of another
+script. The compiler checks the mapping for conflicts (two outputs for one input, outputs that are
+inputs); no normalisation is left to the run, which is one pass over the characters. Letters of
+another script depend on the script of their word, so there is one table a script, applied to the
+word's clusters.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +31,6 @@ HYPHENS = "‐‑‒⁃−﹘﹣－"
 TAGS = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 DIFFERENT = "№℡℻㏇"  # their compatibility forms look different
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎﻿" + "".join(map(chr, (*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10))))
-CLUSTER = regex.compile(r"\X")
-WORD = regex.compile(r"[\p{L}\p{M}]+")
 SCRIPTS = "LCG"
 
 
@@ -98,20 +97,77 @@ def script_of(ch: str) -> str:
     return {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "O"}.get(name, "")
 
 
-@lru_cache(100_000)
-def cluster(c: str) -> str:
-    """Output of the transducer for one grapheme cluster."""
-    table = plain_table()
-    out = "".join(table.get(ch, ch) for ch in c)
-    return unicodedata.normalize("NFC", out) if len(c) > 1 or len(out) > 1 else out
+class Transducer:
+    """The compiled mapping: outputs of characters, and arcs that lengthen the match of a cluster by a mark or a letter part.
 
+    A match starts at a letter and goes on while an arc leads from what it has become over the next
+    mark, so that "e", a dot below and a circumflex in any order are one match with one output.
+    Compiling fails if two rules disagree, or if an output could be matched again.
+    """
 
-def letters(word: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Letters of each script in the word: those without a look-alike, and all."""
+    def __init__(self) -> None:
+        self.out = plain_table()
+        self.rank = {chr(c): n for c in range(0x300, 0x20000) if (n := unicodedata.combining(chr(c)))}
+        self.arcs: dict[tuple[str, str], str] = {}
+        self.parts: dict[str, tuple[str, list[str]]] = {}  # letters that already hold marks, which further marks may come before
+        for cp in [*range(0xA0, 0xD800), *range(0xE000, 0x20000)]:
+            ch = chr(cp)
+            parts = unicodedata.normalize("NFD", ch)
+            if len(parts) < 2 or unicodedata.normalize("NFC", ch) != ch or unicodedata.decomposition(ch).startswith("<"):
+                continue
+            if all(m in self.rank for m in parts[1:]):
+                self.parts[ch] = parts[0], list(parts[1:])
+            first = unicodedata.normalize("NFC", parts[:-1])
+            if len(first) == 1 and self.arcs.setdefault((first, parts[-1]), ch) != ch:
+                raise ValueError(f"two clusters end in U+{cp:04X}")
+        for composed in self.arcs.values():
+            if self.out.get(composed, composed) != composed:
+                raise ValueError(f"the output U+{ord(composed):04X} is an input")
+
+    def compose(self, letter: str, marks: list[str]) -> tuple[str, list[str]]:
+        """The longest match of a letter and its marks: what it becomes, and the marks no arc takes."""
+        if not marks:
+            return letter, marks
+        letter, own = self.parts.get(letter, (letter, []))
+        rest: list[str] = []
+        for m in sorted((*own, *marks), key=self.rank.__getitem__):
+            to = self.arcs.get((letter, m)) if not rest or self.rank[rest[-1]] < self.rank[m] else None
+            if to is None:
+                rest.append(m)
+            else:
+                letter = to
+        return letter, rest
+
+    def clusters(self, text: str) -> list[tuple[str, list[str]]]:
+        """Outputs of the clusters of a text, each a letter or sign with the marks that stay apart, in one pass."""
+        found: list[tuple[str, list[str]]] = []
+        letter, marks = "", []
+        for ch in text:
+            for o in self.out.get(ch, ch):
+                if o in self.rank:
+                    marks.append(o)
+                elif letter and not marks and (to := self.arcs.get((letter, o))):
+                    letter = to
+                else:
+                    if letter or marks:
+                        found.append(self.compose(letter, marks))
+                    letter, marks = o, []
+        if letter or marks:
+            found.append(self.compose(letter, marks))
+        return found
+
+
+@lru_cache(1)
+def transducer() -> Transducer:
+    return Transducer()
+
+
+def letters(word: list[tuple[str, list[str]]]) -> tuple[dict[str, int], dict[str, int]]:
+    """Letters of each script in the word's clusters: those without a look-alike, and all."""
     _, alike = script_tables()
     own: dict[str, int] = {}
     every: dict[str, int] = {}
-    for ch in word:
+    for ch, _ in word:
         if s := script_of(ch):
             every[s] = every.get(s, 0) + 1
             if ch not in alike[s]:
@@ -119,47 +175,59 @@ def letters(word: str) -> tuple[dict[str, int], dict[str, int]]:
     return own, every
 
 
+def target_of(own: dict[str, int], every: dict[str, int], sure: dict[str, int]) -> str | None:
+    """Script that a word's look-alike letters stand for; None where they stand for themselves. ``sure``: the text's letters without a look-alike."""
+    if not every or len(every) == 1 and own:
+        return None
+    own = {s: n for s, n in own.items() if s in SCRIPTS}
+    if own:
+        return max(own, key=lambda s: (own[s], every[s], s == "L"))
+    if len(every) > 1:
+        return max(SCRIPTS, key=lambda s: (sure.get(s, 0), s in every, s == "L", every.get(s, 0)))
+    (s,) = every
+    return None if s in sure or not sure else max(sure, key=lambda x: (sure[x], x == "L"))
+
+
 def plain(text: str | None) -> str | None:
-    """The plain composed form of a text; null stays null, proper text in any script is unchanged."""
+    """The plain composed form of a text; null stays null, proper text in any script is unchanged.
+
+    One pass gives the clusters' outputs; the look-alike letters of each word are then resolved by the
+    scripts of its other letters, or else of the text's.
+    """
     if text is None or text.isascii():
         return text
-    for _ in range(4):  # a second pass only where letters moved to another script meet separate accents
-        before, text = text, one_pass(text)
-        if text == before or text.isascii():
-            break
-    return text
-
-
-def one_pass(text: str) -> str:
-    out = "".join(map(cluster, CLUSTER.findall(text)))
-    if out.isascii():
-        return out
+    machine = transducer()
+    found = machine.clusters(text)
+    if all(len(c) == 1 and c.isascii() and not m for c, m in found):
+        return "".join(c for c, _ in found)
     to, _ = script_tables()
-    words = WORD.findall(out)
-    sure: dict[str, int] = {}
-    for w in words:
-        for s, n in letters(w)[0].items():
-            sure[s] = sure.get(s, 0) + n
-
-    def word(m: regex.Match) -> str:
-        w = m.group()
-        own, every = letters(w)
-        if not every or len(every) == 1 and own:
-            return w
-        own = {s: n for s, n in own.items() if s in SCRIPTS}
-        if own:
-            target = max(own, key=lambda s: (own[s], every[s], s == "L"))
-        elif len(every) == 1:
-            (s,) = every
-            if s in sure or not sure or w.isascii():
-                return w
-            target = max(sure, key=lambda x: (sure[x], x == "L"))
-        else:
-            target = max(SCRIPTS, key=lambda s: (sure.get(s, 0), s in every, s == "L", every.get(s, 0)))
-        table = to.get(target, {})
-        return "".join(table.get(ch, ch) for ch in w)
-
-    return unicodedata.normalize("NFC", WORD.sub(word, out))
+    words, start = [], None
+    for i, (ch, marks) in enumerate((*found, ("", []))):
+        within = bool(ch and (ch.isalpha() or unicodedata.category(ch)[0] in "LM") or marks)
+        if within and start is None:
+            start = i
+        elif not within and start is not None:
+            words.append((start, i))
+            start = None
+    for _ in range(len(words) + 1):  # a word resolved may decide the script of another
+        settled = True
+        sure: dict[str, int] = {}
+        told = [letters(found[a:b]) for a, b in words]
+        for own, _ in told:
+            for s, n in own.items():
+                sure[s] = sure.get(s, 0) + n
+        for (a, b), (own, every) in zip(words, told):
+            if all(ch.isascii() for ch, _ in found[a:b]):
+                continue
+            table = to.get(target_of(own, every, sure) or "", {})
+            for i in range(a, b):
+                ch, marks = found[i]
+                if ch in table:
+                    found[i] = machine.compose(table[ch], marks)
+                    settled = settled and found[i] == (ch, marks)
+        if settled:
+            break
+    return "".join(c + "".join(m) for c, m in found)
 
 
 @F.pandas_udf(T.StringType())
