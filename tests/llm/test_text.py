@@ -38,6 +38,38 @@ def test_twice_and_lost(spark):
     assert {tuple(x) for x in mojibake.garbled_fields(flacs(spark, [*CLEAN, (twice, None, None)])).collect()} == {(4, "artist")}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([0x41, 0xC3, 0xA9, 0xE2, 0x80, 0x99, 0xF0, 0x9F])), max_size=7))
+def test_byte_lattice_against_every_path(data):
+    """The search finds a path as cheap as the cheapest of all ways to cut the bytes up."""
+
+    def cheapest(i):
+        if i == len(data):
+            return 0.0
+        costs = []
+        for j in range(i + 1, min(len(data), i + 4) + 1):
+            part = data[i:j]
+            if len(part) == 1:
+                costs.append((0.0 if part[0] is not None and part[0] < 0x80 else mojibake.LOSS) + cheapest(j))
+            elif part[0] is not None and part[0] >= 0xC2 and len(part) <= (2 if part[0] < 0xE0 else 3 if part[0] < 0xF0 else 4) and all(x is None or 0x80 <= x < 0xC0 for x in part[1:]):
+                try:
+                    bytes(part).decode()
+                    costs.append(-mojibake.SEQUENCE + cheapest(j))
+                except (UnicodeDecodeError, TypeError):
+                    costs.append(mojibake.LOSS + cheapest(j))
+        return min(costs)
+
+    r = mojibake.utf8_readings(data)
+    assert (mojibake.LOSS * r[2] - mojibake.SEQUENCE * r[1] if r else 0.0) == cheapest(0)
+
+
+def test_lost_words_compete(spark):
+    """A damaged word stands for every corpus word that fits it; the more frequent one wins, the letter case of what is left counting."""
+    rows = [("Björn", "x", "x")] * 6 + [("Bjárn", "x", "x")] * 2 + [("ZÜRICH", "x", "x")] * 3 + [("Zürich", "x", "x")] * 3 + [("Bj\ufffdrn", "Z\ufffdrich", "Z\ufffdRICH")]
+    out = {x["field"]: x["restored"] for x in mojibake.repair_fields(flacs(spark, rows)).where(f"flac_id = {len(rows) - 1}").collect()}
+    assert out == {"artist": "Björn", "album": "Zürich", "title": "ZÜRICH"}
+
+
 def test_mojibake_edges(spark):
     rows = [(None, None, None), ("", " ", "é" * 5000), ("Ann", "Ann", "Ann")]
     assert mojibake.garbled_fields(flacs(spark, rows)).count() == 0
