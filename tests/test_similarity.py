@@ -73,7 +73,7 @@ def test_weighted_ratio(spark):
     assert spark.createDataFrame([("a b", None)], "a string, b string").select(sim.weighted_ratio("a", "b")).first()[0] == 0
 
 
-def test_series_bonus_any(spark, tmp_path):
+def test_series_bonus(spark, tmp_path):
     texts = [None, "", "New Path", "Café “New Path”", "Ｎｅｗ Ｐａｔｈ", "Nuances de Nuit – été", "Ünew pathé", "FAFEP010 Привет", "(new path) ночь", "new · path", "Привет"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
 
@@ -84,5 +84,5 @@ def test_series_bonus_any(spark, tmp_path):
         s = re.sub(" +", " ", s).strip()
         return 0.3 if any(h in s for h in SERIES) else 0.0
 
-    got = {r["doc_id"]: r["bonus"] for r in queries.series_bonus_any(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["bonus"] for r in queries.series_bonus(spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)} and sum(got.values()) > 1.4

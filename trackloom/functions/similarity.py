@@ -6,6 +6,8 @@ column expression, and vectorised over many texts for scans of a query set again
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -264,11 +266,20 @@ class WeightedBlock:
         m = len(" ".join(set(q.split())))
         high = np.where(near, np.maximum(low, np.where(shares, 95.0, 0.95 * unique)), np.maximum(low, scale * np.maximum(by_windows, np.where(shares, 95.0, 0.95 * windowed(unique, m, self.unique.lengths)))))
         empty = lengths == 0
-        low, high = np.where(empty, 0.0, np.minimum(low, 100.0)), np.where(empty, 0.0, np.minimum(high, 100.0))
-        floor, roof = np.rint(low - 1e-6).astype(int), np.rint(high + 1e-6).astype(int)
-        least = np.sort(floor)[-min(k, len(floor))]
-        reach = np.flatnonzero(roof >= least)
-        scored = [(weighted_ratio_number(query, self.texts[i]) if roof[i] > floor[i] else int(floor[i]), int(i)) for i in reach]
+        low, high = np.minimum(low, 100.0), np.minimum(high, 100.0)
+        by_set = np.where(shares & ~near & ~empty, np.where(times < 8, round(0.95 * 0.9 * 100.0), round(0.95 * 0.6 * 100.0)), 0)  # rounded as in full
+        bare = np.where(empty, 0.0, np.where(near, low, plain))
+        floor = np.maximum(np.rint(bare - 1e-6).astype(int), by_set)
+        others = np.where(near, high, np.maximum(plain, scale * np.maximum(by_windows, np.where(shares, 0.0, 0.95 * windowed(unique, m, self.unique.lengths)))))
+        roof = np.maximum(np.rint(np.where(empty, 0.0, np.minimum(others, 100.0)) + 1e-6).astype(int), floor)
+        best: list[int] = []  # heap of the k best scores so far
+        scored: list[tuple[int, int]] = []
+        for i in np.argsort(-roof, kind="stable"):
+            if len(best) >= k and roof[i] < best[0]:
+                break
+            score = weighted_ratio_number(query, self.texts[i]) if roof[i] > floor[i] else int(floor[i])
+            scored.append((score, int(i)))
+            heapq.heappush(best, score) if len(best) < k else heapq.heappushpop(best, score)
         return sorted(scored, key=lambda x: (-x[0], self.texts[x[1]]))[:k]
 
 

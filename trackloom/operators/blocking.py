@@ -37,13 +37,14 @@ def candidates_exist(queries: DataFrame, choices: DataFrame, key: str = "norm_qu
     return asked.join(postings(choices).select("word").distinct(), "word", "left_semi").select(key).distinct()
 
 
-def scan_in_blocks(queries: DataFrame, library: DataFrame, best: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def scan_in_blocks(queries: DataFrame, library: DataFrame, best: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Run ``best(queries, rows)`` on every block of queries with every block of rows.
 
     For a stated query set against all rows. Blocks have a bounded number of rows, no pair is ever a
-    row: ``best`` gives a bounded result for each query, to be combined by the caller.
+    row: ``best`` gives a bounded result for each query, to be combined by the caller. ``sizes``: rows
+    and queries of a block, if other than usual.
     """
-    n_l, n_q = (max(1, math.ceil(df.count() / size)) for df, size in ((library, ROWS), (queries, QUERIES)))
+    n_l, n_q = (max(1, math.ceil(df.count() / size)) for df, size in zip((library, queries), sizes or (ROWS, QUERIES)))
     block = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
     left = queries.withColumn("qb", block(queries, n_q)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_l - 1))))
     right = library.withColumn("lb", block(library, n_l)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))

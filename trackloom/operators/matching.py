@@ -34,6 +34,8 @@ def asked(playlist: DataFrame, ascii_only: bool = False) -> DataFrame:
 
 #: Files that a query without an index hit, or a review, is seeded with.
 SEED = 50
+#: Rows and queries of a block when the most similar are sought, which is much work for each query.
+LIKE = (5_000, 8)
 
 
 def scored(queries: DataFrame, options: DataFrame, fallback: bool = True) -> DataFrame:
@@ -249,7 +251,7 @@ def fuzzy_top(queries: DataFrame, library: DataFrame, k: int = 50) -> DataFrame:
             rows = [(q, norms[i], paths[i], s) for q in a["norm_query"] for s, i in block.top(q, k)]
         return pd.DataFrame(rows, columns=["norm_query", "norm", "path", "score"])
 
-    tops = scan_in_blocks(queries.select("norm_query").distinct(), library.select("norm", "path"), run, "norm_query string, norm string, path string, score int")
+    tops = scan_in_blocks(queries.select("norm_query").distinct(), library.select("norm", "path"), run, "norm_query string, norm string, path string, score int", LIKE)
     rank = F.row_number().over(Window.partitionBy("norm_query").orderBy(F.desc("score"), "norm"))
     return tops.withColumn("rank", rank).where(F.col("rank") <= k).select("norm_query", "rank", "norm", "path", "score")
 

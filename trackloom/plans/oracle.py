@@ -206,7 +206,6 @@ def sql() -> dict[str, str]:
         "phrase_score": f"with n as (select distinct {canon('p_name')} t from part) select a.t a, b.t b, round({phrase('a.t', 'b.t')}, 6) score from n a join n b on a.t <> b.t and string_split(a.t, ' ')[1] = string_split(b.t, ' ')[1]",
         "token_overlap": f"with n as (select distinct {canon('p_name')} t from part) select a.t a, b.t b, round({overlap('a.t', 'b.t')}, 6) score from n a join n b on string_split(a.t, ' ')[1] = string_split(b.t, ' ')[1]",
         "word_overlap": f"with {LIB}, {CHOICES}, {ASKED}, {PAIRS} select norm_query, norm, round({word_share('norm_query', 'norm')}, 6) share from hits",
-        "series_bonus": f"select doc_id, {bonus(canon('text'), canon('text'))} bonus from documents where not regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]')",
         "score_v1": f"with {LIB}, {CHOICES}, {ASKED}, {PAIRS} select track, norm, cast(round_even(score * 10, 0) as int) tenths from scored",
         "match_best": f"{ALL} select pos, track, norm, path, cast(round_even(score * 10, 0) as int) tenths from best",
         "match_one_to_one": f"{ALL}, {ONE} select pos, track, path, cast(round_even(score * 10, 0) as int) tenths from one",

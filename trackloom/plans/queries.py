@@ -198,12 +198,7 @@ def word_overlap(spark, d):
 
 
 def series_bonus(spark, d):
-    c = table(spark, d, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]")).select("doc_id", text.canon("text", True).alias("t"))
-    return c.select("doc_id", similarity.series_bonus(F.col("t"), F.col("t")).alias("bonus"))
-
-
-def series_bonus_any(spark, d):
-    """The bonus of every document, whatever its script; the query above keeps to what its SQL can state."""
+    """The bonus of every document, whatever its script; SQL cannot state the compatibility form."""
     c = table(spark, d, "documents").select("doc_id", text.canon("text").alias("t"))
     return c.select("doc_id", similarity.series_bonus(F.col("t"), F.col("t")).alias("bonus"))
 
