@@ -70,6 +70,16 @@ def test_lost_words_compete(spark):
     assert out == {"artist": "Björn", "album": "Zürich", "title": "ZÜRICH"}
 
 
+def test_every_fitting_word_competes(spark):
+    """The word that fits wins however many more frequent ones have the same skeleton: by what is left, and by letter case."""
+    more = [f"Z{a}x{b}" for a in "áàâãäå" for b in "óòôõ"]  # all more frequent, with another last letter
+    rows = [(w, None, None) for w in more for _ in range(3)] + [("Zýxü", "x", "x")] * 2 + [("Z\ufffdxü", "Z\ufffdx\ufffd", None)]
+    out = {x["field"]: x["restored"] for x in mojibake.repair_fields(flacs(spark, rows)).where(f"flac_id = {len(rows) - 1}").collect()}
+    assert out == {"artist": "Zýxü", "album": min(more)}
+    upper = [(w, None, None) for w in more for _ in range(3)] + [("ZÝXÜ", None, None)] * 2 + [("Z\ufffdX\ufffd", None, None)]
+    assert mojibake.repair_fields(flacs(spark, upper)).where(f"flac_id = {len(upper) - 1}").first()["restored"] == "ZÝXÜ"
+
+
 def test_mojibake_edges(spark):
     rows = [(None, None, None), ("", " ", "é" * 5000), ("Ann", "Ann", "Ann")]
     assert mojibake.garbled_fields(flacs(spark, rows)).count() == 0
