@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from trackloom.config import Config
@@ -138,3 +139,27 @@ def test_weighted_block_against_every_pair():
         q = text()
         want = sorted((-weighted_ratio_number(q, t), t) for t in texts)[:12]
         assert [(-s, texts[i]) for s, i in block.top(q, 12)] == want
+
+
+def test_scans_copy_no_rows(spark, tables):
+    """Blocks of a scan are shuffled once and meet in a cartesian product; no row is copied for each block of the other side."""
+    playlist, library = tables
+    q = spark.createDataFrame([(1, "ann", "", "", 1)], "pos long, artist string, album string, title string, duration int")
+    lib = spark.createDataFrame([("/a", "ann", "x", "y", 1)], "path string, artist string, album string, title string, duration int")
+    for out in (matching.match_by_ratio(q, lib), matching.match_simple(playlist, library, "n"), matching.fuzzy_top(playlist.selectExpr("track norm_query"), library)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "explode(sequence" not in plan
+
+
+def test_bounds_of_ratios():
+    from trackloom.functions.similarity import TextBlock
+
+    r = random.Random(5)
+    text = lambda: "".join(r.choices("abcdeé\U0001f600\0 ж", k=r.choice((0, 1, 3, 8, 70))))
+    texts = [text() for _ in range(200)]
+    block, which = TextBlock(texts), np.array([3, 50, 51, 199])
+    for _ in range(40):
+        q = text()
+        exact = block.ratios(q)
+        assert exact.tolist() == [ratio_number(q, t) for t in texts]
+        assert (block.bounds(q) >= exact - 1e-9).all() and (block.ratios(q, which) == exact[which]).all()
