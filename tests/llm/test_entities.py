@@ -59,6 +59,52 @@ def test_candidates_against_all_pairs(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in names.candidates(df).collect()} == whole
 
 
+def _accepted(keys):
+    words = [names.words_of(k) for k in keys]
+    return {(a, b) for i, a in enumerate(keys) for j, b in enumerate(keys[i + 1 :], i + 1) if names.monge_elkan(words[i], words[j]) >= names.ACCEPT}
+
+
+def test_shared_syllables_make_no_candidates(spark):
+    """Names whose words only share syllables do not meet, so pairs do not grow with the square of the keys."""
+    made = ["".join(x) for x in product(("bel", "dor", "fim", "gas", "hul"), ("a", "o"), ("tan", "rus", "vok", "zel", "mip"), ("ba", "cho", "di", "fu", "ge"))]
+    keys = sorted({f"{n} {w}" for w in made for n in ("songs from", "nights in")} | {f"songs from {w[:3]}{w[4]}{w[3]}{w[5:]}" for w in made[::9]})
+    got = {(r["a"], r["b"]) for r in names.candidates(spark.createDataFrame([("album", k) for k in keys], "field string, key string")).collect()}
+    want = _accepted(keys)
+    assert want <= got and len(got) <= len(want) + 3 * len(keys)
+
+
+def test_no_similar_pair_is_lost(spark):
+    """Names of few words in all kinds of short and mistyped forms: every pair that the similarity accepts is a candidate."""
+    rng = np.random.default_rng(5)
+    vocabulary = "nathaniel robert katherine zanibor krepola vastiman abc hall live orchestra radio symphony quartet teh fro 12 b kr dj and the drokan".split() + ["q" * 11 + "werty" * 4, "ab" * 12]
+
+    def bent(w):
+        kind, at = rng.integers(0, 8), int(rng.integers(0, len(w)))
+        if kind == 0:
+            return w[:1]
+        if kind == 1:
+            return w[:at] + w[at + 1 :] or w
+        if kind == 2:
+            return w[:at] + w[at : at + 2][::-1] + w[at + 2 :]
+        if kind == 3:
+            return w[:3]
+        if kind == 4:
+            return w[:1] + "".join(ch for ch in w[1:] if ch not in "aeiouy")[:2]
+        return {"nathaniel": "nate", "robert": "bob", "katherine": "kit"}.get(w, w)
+
+    keys = set()
+    for _ in range(160):
+        name = [vocabulary[i] for i in rng.integers(0, len(vocabulary), int(rng.integers(1, 5)))]
+        keys.add(" ".join(name))
+        keys |= {" ".join(bent(w) for w in name) for _ in range(2)}
+        if len(name) > 2:
+            keys.add(" ".join(["".join(w[0] for w in name[:2]), *(bent(w) for w in name[2:])]))
+    keys = sorted(keys)
+    got = {(r["a"], r["b"]) for r in names.candidates(spark.createDataFrame([("artist", k) for k in keys], "field string, key string")).collect()}
+    want = _accepted(keys)
+    assert len(want) > 200 and want <= got
+
+
 def test_stars_reach_rest(spark):
     nodes = spark.createDataFrame([("f", f"k{i}", 10 - i) for i in range(6)], "field string, key string, n long")
     edges = spark.createDataFrame([("f", f"k{i}", f"k{i + 1}", 0.9) for i in range(5)], "field string, a string, b string, sim double")
